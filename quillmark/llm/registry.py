@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .simhash_vp import op7_simhash_near_dedup
 
 QUERIES = {
+    "op4_exact_dedup": op4_exact_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": OP4_SQL,
+}
