@@ -71,7 +71,7 @@ def _block_start(j):
 def _block_of(p: str):
     return F.expr(
         f"CASE WHEN {p} < (source_size % blocks) * (source_size div blocks + 1) THEN {p} div (source_size div blocks + 1) "
-        f"ELSE source_size % blocks + ({p} - (source_size % blocks) * (source_size div blocks + 1)) div (source_size div blocks) END"
+        f"ELSE source_size % blocks + ({p} - (source_size % blocks) * (source_size div blocks + 1)) div greatest(source_size div blocks, 1) END"
     )
 
 
@@ -122,7 +122,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
     # Documents: place in the source's shuffled stream, in two levels.
-    facts = sources.select(F.col("source").alias("s_source"), "sid", "source_size", "n_docs", "target", "blocks")
+    facts = sources.select(
+        F.col("source").alias("s_source"), "sid", "source_size", "n_docs", "target", F.greatest("blocks", F.lit(1)).alias("blocks")
+    )
     placed = sizes.join(small(facts), F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
     ranges = F.ceil(F.sqrt("n_docs")).cast("long")
     leading = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import OP9_SQL, op9_mix_sources
+from .quality_rules import OP3_SQL, op3_quality_rules
 from .simhash_vp import op7_simhash_near_dedup
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_mix_sources": op9_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op9_mix_sources": OP9_SQL,
 }
