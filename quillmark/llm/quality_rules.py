@@ -92,7 +92,10 @@ def verdict(names: dict[str, str], thresholds=THRESHOLDS) -> tuple[Column, Colum
             passed = passed & F.coalesce(ratio >= low, F.lit(True))
         if high is not None:
             passed = passed & F.coalesce(ratio <= high, F.lit(True))
-    return base_failed, ~base_failed & passed
+    # The optimiser would push a filter on a deterministic verdict below the projections and
+    # copy their expressions into it again and again; this always true term keeps it above.
+    computed_once = F.monotonically_increasing_id() >= 0
+    return base_failed, ~base_failed & passed & computed_once
 
 
 def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
@@ -109,7 +112,8 @@ def quality_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def quality_filter(docs: DataFrame, text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The rows of ``docs`` that pass, all columns unchanged."""
     df, names = with_figures(docs, text_col)
-    return df.where(verdict(names, thresholds)[1]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = free_name(docs, "q_kept")
+    return df.withColumn(kept, verdict(names, thresholds)[1]).where(F.col(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
