@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import OP9_SQL, op9_mix_sources
+from .packing import op5_packing
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .simhash_vp import op7_simhash_near_dedup
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_packing": op5_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_mix_sources": op9_mix_sources,
 }
