@@ -7,6 +7,7 @@ from .mixing import OP9_SQL, op9_mix_sources
 from .packing import op5_packing
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .simhash_vp import op7_simhash_near_dedup
+from .warc import op10_warc
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op9_mix_sources": op9_mix_sources,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
