@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .kneser_ney import op2_lm_scoring
 from .mixing import OP9_SQL, op9_mix_sources
 from .packing import op5_packing
 from .quality_rules import OP3_SQL, op3_quality_rules
@@ -10,6 +11,7 @@ from .simhash_vp import op7_simhash_near_dedup
 from .warc import op10_warc
 
 QUERIES = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
