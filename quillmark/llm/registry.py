@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .html_crf import op1_html_extraction
 from .kneser_ney import op2_lm_scoring
 from .mixing import OP9_SQL, op9_mix_sources
 from .packing import op5_packing
@@ -11,6 +12,7 @@ from .simhash_vp import op7_simhash_near_dedup
 from .warc import op10_warc
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
