@@ -7,6 +7,7 @@ from .html_crf import op1_html_extraction
 from .kneser_ney import op2_lm_scoring
 from .mixing import OP9_SQL, op9_mix_sources
 from .packing import op5_packing
+from .pii import op8_pii_surrogates
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .simhash_vp import op7_simhash_near_dedup
 from .warc import op10_warc
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_mix_sources": op9_mix_sources,
     "op10_warc": op10_warc,
 }
