@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .html_crf import op1_html_extraction
 from .kneser_ney import op2_lm_scoring
+from .line_dedup import op6_line_dedup
 from .mixing import OP9_SQL, op9_mix_sources
 from .packing import op5_packing
 from .pii import op8_pii_surrogates
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_packing": op5_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_mix_sources": op9_mix_sources,
