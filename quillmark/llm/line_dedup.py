@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .components import connected_components
 from .shared import free_name, table, written
-from .textkernel import small_batches, xxh64
+from .textkernel import small_batches
 
 SHINGLE, THRESHOLD = 9, 0.8
 ROWS, BANDS = 5, 14
@@ -53,10 +54,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def line_ids(lines: list[str]) -> np.ndarray:
-    raw = [x.encode("utf-8", "surrogatepass") for x in lines]
-    size = np.array([len(x) for x in raw], np.int64)
-    buffer = np.frombuffer(b"".join(raw), np.uint8)
-    return xxh64(buffer, np.cumsum(size) - size, size).view(np.int64)
+    """XXH64 of each line as a signed long; lines differ in length, so one call each."""
+    found = [xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines]
+    return np.array(found, np.uint64).view(np.int64)
 
 
 def band_hashes(lines: list[str]) -> np.ndarray:
