@@ -45,7 +45,9 @@ KINDS: tuple[tuple[str, str], ...] = (
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"),
     ("name", rf"(?<![\p{{L}}]){_TITLE} \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?"),
 )
-PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
+#: No kind begins right after a Latin letter, but with a digit or a plus sign; saying so
+#: first spares the alternatives inside words.
+PATTERN = r"(?:(?<![A-Za-z])|(?=[0-9+]))(?:" + "|".join(f"(?:{p})" for _, p in KINDS) + ")"
 
 # Given names of surrogates.
 _GIVEN = {
