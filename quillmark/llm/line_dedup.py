@@ -31,8 +31,11 @@ from .textkernel import small_batches
 
 SHINGLE, THRESHOLD = 9, 0.8
 ROWS, BANDS = 5, 14
-#: Buckets of so many lines compare all pairs at once; larger ones take so many hubs a round.
-SMALL, HUBS = 64, 32
+#: Buckets of so many lines compare all pairs at once; larger ones take about HUBS hubs in the
+#: first round, when all lines are apart, and MOST_HUBS in each further one.
+SMALL, HUBS, MOST_HUBS = 64, 2, 32
+#: Shingles that a worker's cache of shingle sets holds.
+CACHED_SHINGLES = 1_000_000
 #: Line ids a task remembers so as not to emit a line's bands and text again.
 REMEMBERED = 500_000
 
@@ -162,11 +165,13 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         sets: dict[str, set[str]] = {}
-        keep = []
+        held, keep = 0, []
         for p, q in zip(x, y, strict=True):
-            if len(sets) > 2000:
+            if held > CACHED_SHINGLES:
                 sets.clear()
-            a, b = sets.setdefault(p, None) or shingles(p), sets.setdefault(q, None) or shingles(q)
+                held = 0
+            a, b = sets.get(p) or shingles(p), sets.get(q) or shingles(q)
+            held += (p not in sets) * len(a) + (q not in sets) * len(b)
             sets[p], sets[q] = a, b
             both = len(a & b)
             keep.append(both >= THRESHOLD * (len(a) + len(b) - both))
@@ -184,25 +189,29 @@ def line_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
     needed = members.select("lid").distinct()
     texts = _distinct_lines(docs, text_col, _texts, "lid long, line string").join(needed, "lid", "left_semi")
     texts = written(texts.groupBy("lid").agg(F.first("line").alias("line")), "texts")
-    edges = labels = None
-    turn = 0
+    labels, turn = None, 0
     while not members.isEmpty():
         state = members.withColumn("root", F.col("lid"))
         if labels is not None:
             state = members.join(labels, F.col("lid") == F.col("node"), "left").select("bucket", "lid", F.coalesce("root", "lid").alias("root"))
         state = written(state, "state")
-        open_ = state.groupBy("bucket").agg(
-            F.count("*").alias("n"), F.min("root").alias("r1"), F.max("root").alias("r2"),
-        ).where("r1 <> r2").drop("r1", "r2")
+        # Of each bucket still in several components: its size and its largest component.
+        parts = state.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket")
+        parts = parts.agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+        open_ = written(parts.select("bucket", "n", (F.col("n") - F.col("most.c")).alias("k"), F.col("most.root").alias("main")), "open")
         now = written(state.join(open_, "bucket"), "now")
         few = now.where(f"n <= {SMALL}").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("lid", "root"))).alias("m"))
         pairs = few.select(F.explode("m").alias("p"), "m").select("p", F.explode("m").alias("q"))
-        # The hubs of a large bucket: its smallest line, and others drawn by a hash of the round.
+        # The hubs of a large bucket are lines outside its largest component, whose own pairs
+        # need no test: the smallest such line, and those of the smallest hashes of the round.
         many = now.where(f"n > {SMALL}")
         if not many.isEmpty():
-            least = many.groupBy("bucket").agg(F.min("lid").alias("least"))
-            drawn = F.pmod(F.xxhash64("lid", F.lit(turn)), F.col("n")) < HUBS
-            many = written(many.join(least, "bucket").withColumn("hub", drawn | (F.col("lid") == F.col("least"))).drop("least"), "many")
+            outside = F.col("root") != F.col("main")
+            least = many.where(outside).groupBy("bucket").agg(F.min("lid").alias("least"))
+            hubs = HUBS if turn == 0 else MOST_HUBS
+            drawn = F.pmod(F.xxhash64("lid", F.lit(turn)), F.lit(1 << 30)) * F.col("k") < hubs << 30
+            hub = outside & (drawn | (F.col("lid") == F.col("least")))
+            many = written(many.join(least, "bucket").withColumn("hub", hub).drop("least"), "many")
             hubs = many.where("hub").select("bucket", F.struct("lid", "root").alias("p"))
             star = many.join(hubs, "bucket").select("p", F.struct("lid", "root").alias("q"))
             star = star.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
@@ -216,7 +225,8 @@ def line_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
         left, right = texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), texts.select(F.col("lid").alias("b"), F.col("line").alias("y"))
         pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
         similar = written(pairs.mapInArrow(_similar, "a long, b long"), "similar")
-        edges = similar if edges is None else edges.union(similar)
+        # What earlier rounds linked comes back as stars.
+        edges = similar if labels is None else similar.union(labels.select("node", "root"))
         labels = written(connected_components(edges), "labels")
     return labels if labels is not None else spark.createDataFrame([], "node long, root long")
 
