@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import admission, audits, evaluation
+from ..operators import admission, audits, evaluation, similarity
 
-MODULES = [admission, audits, evaluation]
+MODULES = [admission, audits, evaluation, similarity]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
