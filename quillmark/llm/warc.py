@@ -114,11 +114,13 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     records = pages.sparkSession.read.parquet(f"{path}/headers")
     # The payload joins its record by the record's own id; repeated rows fall together there.
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    bodies = pages.select(F.col(id_col).alias("body_id"), html.alias("body")).withColumn("body_sha", F.sha2(F.col("body").cast("binary"), 256))
-    responses = records.where("record_type = 'response'").dropDuplicates(["id", "sha256"])
+    # One key, never null, for join and grouping alike: the payloads are shuffled once.
+    key = lambda of, sha: F.concat_ws("|", of.cast("string"), sha).alias("key")
+    bodies = pages.select(key(F.col(id_col), F.sha2(html.cast("binary"), 256)), html.alias("body"))
+    responses = records.where("record_type = 'response'").select(key(F.col("id"), F.col("sha256")), "header", "http").dropDuplicates(["key"])
     stored = (
-        bodies.join(responses, F.col("body_id").eqNullSafe(F.col("id")) & (F.col("body_sha") == F.col("sha256")))
-        .groupBy("body_id", "body_sha").agg(F.first("header").alias("header"), F.first("http").alias("http"), F.first("body").alias("body"))
+        bodies.join(responses, "key")
+        .groupBy("key").agg(F.first("header").alias("header"), F.first("http").alias("http"), F.first("body").alias("body"))
         .select(F.concat("header", F.lit(END), "http", "body").alias("value"))
     )
     again = records.where("record_type = 'revisit'").select(F.concat("header", F.lit(END), "http").alias("value"))
