@@ -29,7 +29,8 @@ from .components import connected_components
 from .shared import free_name, table, written
 from .textkernel import small_batches
 
-SHINGLE, THRESHOLD = 9, 0.8
+#: At width 5 a line of 54 characters stays over the threshold when a short word is put in.
+SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 5, 14
 #: Buckets of so many lines compare all pairs at once; larger ones take about HUBS hubs in the
 #: first round, when all lines are apart, and MOST_HUBS in each further one.

@@ -78,3 +78,21 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, "one line\ntwo", "", 0), (7, "one line", "", 0), (7, "one line", "", 0)], SCHEMA)
     got = sorted((r["id"] or 0, r["line_no"], r["kept"], r["class_size"]) for r in line_classes(df).collect())
     assert got == [(0, 0, False, 3), (0, 1, True, 1), (7, 0, True, 3), (7, 0, True, 3)]
+
+
+def test_short_lines_with_one_small_change_are_linked(spark):
+    # Jaccard over 5-character shingles, on its own: 0.8 and more for each pair but the last.
+    five = lambda s: {s[i : i + 5] for i in range(len(s) - 4)}
+    line = "ofshednd in thedntre nt, ouing the thanble shsh bleen."
+    pairs = [
+        (line, line.replace("nt, ouing", "nt, to ouing")),
+        (line, line.replace("nt, ouing", "nt ouing")),
+        ("the quick brown fox jumps over the lazy dog by the river", "the quick brown fox jumps over the lazy dog by the liver"),
+        ("an entirely different sentence about bread and butter", "an entirely other phrase about cheese and some butter"),
+    ]
+    alike = [len(five(a) & five(b)) >= 0.8 * len(five(a) | five(b)) for a, b in pairs]
+    assert alike == [True, True, True, False]
+    df = spark.createDataFrame([(k, "\n".join(p), "", 0) for k, p in enumerate(pairs)], SCHEMA)
+    kept = {(r["id"], r["line_no"]): r["kept"] for r in line_classes(df).collect()}
+    assert [kept[k, 1] for k in (1, 2, 3)] == [False, False, True]
+    assert not kept[0, 1]
