@@ -32,17 +32,32 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 MALE = "Mr|Herr|Herrn|Monsieur|Señor|Sr|господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа"
 _TITLE = rf"(?:{MALE}|{FEMALE})\.?"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_SECRET = r"\b[0-9a-f]{40}\b"
+_IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
+_SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+_CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
+# A group of a phone number does not begin where another entity does; a number of country
+# code 1 has ten digits more, any other at most 15 in all.
+_GROUP = rf"(?![ .-]?(?:{_EMAIL}|{_SECRET}|{_IP}))[ .-]?\d{{2,4}}"
+_GROUPED = r"(?<![\d.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?![ -]?\d)"  # a card by its own groups
+_NEXT = rf"(?![ .-]?(?:{_SSN}|{_GROUPED})){_GROUP}"
+_MORE = r"[ .()-]{0,2}\d"  # written out 15 times, as Java bounds no repeated group that looks behind
+_PHONE = (
+    r"(?<![\d+])\+(?:1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    rf"|\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}}){_GROUP}(?:{_NEXT}){{1,3}}(?!\d)(?<!\d{_MORE * 15}))"
+)
 #: (kind, pattern), the first that matches a place wins.  Runs begin at a border or are
 #: bounded, so that a long text without an entity is read in linear time.
 KINDS: tuple[tuple[str, str], ...] = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", _EMAIL),
     ("access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("secret", r"\b[0-9a-f]{40}\b"),
-    ("ip", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"),
-    ("phone", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"),
-    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    ("secret", _SECRET),
+    ("ip", _IP),
+    ("phone", _PHONE),
+    ("ssn", _SSN),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"),
+    ("card", _CARD),
     ("name", rf"(?<![\p{{L}}]){_TITLE} \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?"),
 )
 #: No kind begins right after a Latin letter, but with a digit or a plus sign; saying so

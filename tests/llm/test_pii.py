@@ -63,3 +63,17 @@ def test_repeats_nulls_empty(spark):
     assert len(got) == 4 and len({t[2:] for t in got if len(t) > 1}) == 1 and not any("25.86" in t for t in got)
     assert replace_private(spark.createDataFrame([], SCHEMA)).count() == 0
     assert spark.range(1).select(_luhn_sum(F.lit("4041894974608795"), False)).first()[0] % 10 == 0
+
+
+def test_a_phone_ends_where_another_entity_begins(spark):
+    us, uk = "+1 (826) 555-4081", "+44 20 7946 0958"
+    others = ["190.137.223.204", "078-05-1120", "4041894974608795", "4041 8949 7460 8795", "0641917ea4e9feb9cda83477b57ac2654884f485", "12ann@mail5.example.com"]
+    texts = [f"call {us} now", f"call {uk} now", *(f"call {p} {x} now" for p in (us, uk) for x in others), f"call {us} 12 1234 now", f"call {uk} 1234 5678 now", "+49 151.123.45.67 +4915112345678"]
+    got = run(spark, texts)
+    new = {us: got[0][0][5:-4], uk: got[1][0][5:-4]}
+    assert all(p != q and re.sub(r"\d", "9", p) == re.sub(r"\d", "9", q) for p, q in new.items())
+    for i, (p, x) in enumerate(((p, x) for p in (us, uk) for x in others), 2):
+        text, n = got[i]
+        assert n == 2 and text.startswith(f"call {new[p]} ") and not any(part in text for part in x.split()), (texts[i], text)
+    assert got[14] == (f"call {new[us]} 12 1234 now", 1) and got[15] == (f"call {new[uk]} 1234 5678 now", 1)
+    assert got[16][1] == 2 and re.fullmatch(r"\+4\d \d{3}\.\d{3}\.\d\d\.\d\d \+4\d{12}", got[16][0])
