@@ -41,19 +41,29 @@ def bottom_k_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, kind, evidence): exact text, contained item, or the smallest shared LONG-word shingle.
 
-    Items and documents of fewer than LONG words have no such shingle and are left to the
-    narrower contamination queries.
+    Items of fewer than LONG words have no such shingle: they are found whole among the
+    documents' runs of as many words, and are their own evidence.
     """
-    long = lambda name, key: (
-        table(spark, sf_dir, name).select(key, X.words(F.col("text")).alias("w")).where(F.size("w") >= LONG)
-    )
-    shingled = lambda name, key: long(name, key).select(key, F.explode(X.shingles(F.col("w"), LONG)).alias("s"))
-    hits = shingled("documents", "doc_id").join(shingled("benchmark", "item_id"), "s").groupBy("doc_id", "item_id").agg(F.min("s").alias("evidence"))
-    joined = lambda name, key, to: long(name, key).select(key, F.array_join("w", " ").alias(to))
-    hits = hits.join(joined("benchmark", "item_id", "item"), "item_id").join(joined("documents", "doc_id", "doc"), "doc_id")
+    return containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
+    split = lambda df, key: df.select(key, X.words(F.col("text")).alias("w"))
+    long = lambda df, key: split(df, key).where(F.size("w") >= LONG)
+    shingled = lambda df, key: long(df, key).select(key, F.explode(X.shingles(F.col("w"), LONG)).alias("s"))
+    hits = shingled(docs, "doc_id").join(shingled(items, "item_id"), "s").groupBy("doc_id", "item_id").agg(F.min("s").alias("evidence"))
+    joined = lambda df, key, to: long(df, key).select(key, F.array_join("w", " ").alias(to))
+    hits = hits.join(joined(items, "item_id", "item"), "item_id").join(joined(docs, "doc_id", "doc"), "doc_id")
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     kind = F.when(F.col("doc") == F.col("item"), "exact").when(F.contains(padded("doc"), padded("item")), "containment").otherwise("shingle")
-    return hits.select("doc_id", "item_id", kind.alias("kind"), "evidence")
+    hits = hits.select("doc_id", "item_id", kind.alias("kind"), "evidence")
+    short = split(items, "item_id").where(F.size("w").between(1, LONG - 1)).select("item_id", F.size("w").alias("n"), F.array_join("w", " ").alias("evidence"))
+    # Every document with each length that a short item has, LONG - 1 at most.
+    d = split(docs, "doc_id").crossJoin(F.broadcast(short.select("n").distinct())).where(F.size("w") >= F.col("n"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))
+    d = d.select("doc_id", (F.size("w") == F.col("n")).alias("whole"), F.explode(F.array_distinct(runs)).alias("evidence"))
+    found = d.join(short.drop("n"), "evidence")
+    return hits.union(found.select("doc_id", "item_id", F.when(F.col("whole"), "exact").otherwise("containment").alias("kind"), "evidence"))
 
 
 def running_offsets(df: DataFrame, key: str, size: str) -> DataFrame:
