@@ -2,17 +2,22 @@
 
 Method
 ------
-1. Each non-blank line is squeezed and lower-cased; equal ones share a 64-bit line id.
-2. Signatures of its character shingles (one-permutation MinHash, empty bins filled from
-   their neighbours) are cut into bands; lines that share a band are candidates.  With
-   ROWS and BANDS a pair at the threshold shares a band with probability 0.996.
-3. Candidates are verified by the exact Jaccard similarity of their shingle sets.  A
-   bucket of more than SMALL lines tests all its lines against a few hubs a round and goes on
-   only while its lines still lie in different components, so a group of n near copies
-   costs about HUBS * n tests; small buckets test their pairs at once.  No bucket is cut short.
-4. Components by distributed union-find; of each the first line by (document, line) stays.
-
-Copies meet only as counts of one line id, and texts travel once, for candidate lines.
+1. Each non-blank line is squeezed and lower-cased; equal ones share a 64-bit line id
+   (among n different lines about n^2 / 2^65 pairs share one by chance).
+2. Signatures of its character shingles are cut into bands; lines that share a band are
+   candidates.  With ROWS and BANDS a pair at the threshold shares a band with probability
+   0.996.  Bins that no shingle hits are filled by further hash rounds over the same
+   shingles, so short lines have a full signature too.
+3. A task sorts the bands of its different lines and sends them as delta-coded blocks to
+   shards of the band hash.  A band that very many lines of one task hold goes to shards
+   of band and line instead, and two witnesses keep its other members from being taken
+   for single.  Shards give the buckets of two or more lines; equal buckets count once.
+4. Only lines of such buckets travel with their text.  A bucket of up to SMALL lines tests
+   its pairs at once by the exact Jaccard similarity of the shingle sets.  Larger ones go
+   in pieces of PIECE lines beside a few hubs a round, and on only while their lines still
+   lie in different components, so n near copies cost about HUBS * n tests.  No bucket is
+   cut short.
+5. Components by distributed union-find; of each the first line by (document, line) stays.
 """
 
 from __future__ import annotations
@@ -26,22 +31,36 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .components import connected_components
-from .shared import free_name, table, written
+from .shared import discard, free_name, table, weighted_join, written
 from .textkernel import small_batches
 
 #: At width 5 a line of 54 characters stays over the threshold when a short word is put in.
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 5, 14
+BINS = ROWS * BANDS
 #: Buckets of so many lines compare all pairs at once; larger ones take about HUBS hubs in the
 #: first round, when all lines are apart, and MOST_HUBS in each further one.
 SMALL, HUBS, MOST_HUBS = 64, 2, 32
-#: Shingles that a worker's cache of shingle sets holds.
-CACHED_SHINGLES = 1_000_000
+#: Lines of a large bucket that are tested beside the round's hubs in one piece of work.
+PIECE = 512
+#: Characters aimed at per shard of the bands, lines a task gathers before it sends blocks,
+#: and how many of them may share a band before it is dealt by line.
+SHARD, RUN, HOT = 16 << 20, 50_000, 256
 #: Line ids a task remembers so as not to emit a line's bands and text again.
 REMEMBERED = 500_000
-
-_P = 0x9E3779B97F4A7C15 | 1
+#: Bits of the largest bitmap of needed line ids that is sent to the workers (16 MB).
+BITMAP_BITS = 27
+#: Lines of more characters are compared as sorted hash arrays, not as sets of strings.
+LONG = 20_000
+#: Shingles hashed at a time.
+WINDOW = 1 << 15
+#: Rounds of hashes that fill a signature's empty bins before they are filled one by one.
+TURNS = 32
+
+_P = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
+_EMPTY = np.uint32(0xFFFFFFFF)
+_BUCKET_BITS = 48
 
 
 def squeezed(line: str) -> str:
@@ -63,37 +82,76 @@ def line_ids(lines: list[str]) -> np.ndarray:
     return np.array(found, np.uint64).view(np.int64)
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _rolled(code: np.ndarray) -> np.ndarray:
+    """64-bit hashes of all runs of SHINGLE codes."""
+    h = code[: len(code) - SHINGLE + 1].astype(np.uint64)
+    for k in range(1, SHINGLE):
+        h *= _P
+        h += code[k : len(code) - SHINGLE + 1 + k]
+    return _mix(h)
+
+
+def shingle_hashes(line: str) -> np.ndarray:
+    """Distinct 64-bit hashes of a line's shingles, ascending."""
+    code = _codes(line.ljust(SHINGLE, "\x00"))
+    return np.unique(np.concatenate([_rolled(code[p : p + WINDOW + SHINGLE - 1]) for p in range(0, len(code) - SHINGLE + 1, WINDOW)]))
+
+
+def _thrown(lines: list[str], turn: int) -> np.ndarray:
+    """(lines, BINS) minima after every shingle was thrown into one bin by its hash of ``turn``."""
+    padded = [x.ljust(SHINGLE, "\x00") for x in lines]
+    size = np.array([len(x) for x in padded], np.int64)
+    end = np.cumsum(size)
+    code = _codes("".join(padded))
+    inside = np.ones(len(code), bool)
+    for k in range(1, SHINGLE):
+        inside[end - k] = False
+    base = np.repeat(np.arange(len(lines), dtype=np.int64) * BINS, size)
+    sign = np.full(len(lines) * BINS, _EMPTY, np.uint32)
+    with np.errstate(over="ignore"):
+        for p in range(0, len(code) - SHINGLE + 1, WINDOW):
+            h = _rolled(code[p : p + WINDOW + SHINGLE - 1])
+            if turn:
+                h = _mix(h + _U(turn) * _P)
+            valid = inside[p : p + len(h)]
+            h = h[valid]
+            at = base[p : p + len(valid)][valid] + (((h >> _U(40)) * _U(BINS)) >> _U(24)).astype(np.int64)
+            np.minimum.at(sign, at, np.minimum(h.astype(np.uint32), _EMPTY - np.uint32(1)))
+    return sign.reshape(len(lines), BINS)
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """(lines, BINS) minima: a shingle goes to one bin by its hash; what stays empty is
+    filled by up to TURNS further rounds with other hashes, then bin by bin."""
+    full = _thrown(lines, 0)
+    for turn in range(1, TURNS + 1):
+        holes = full == _EMPTY
+        lacking = np.flatnonzero(holes.any(1))
+        if not len(lacking):
+            return full
+        again = _thrown([lines[k] for k in lacking.tolist()], turn)
+        full[lacking] = np.where(holes[lacking], again, full[lacking])
+    with np.errstate(over="ignore"):
+        for k in np.flatnonzero((full == _EMPTY).any(1)).tolist():
+            h = shingle_hashes(lines[k])
+            for b in np.flatnonzero(full[k] == _EMPTY).tolist():
+                full[k, b] = min(int(_mix(h + _U(TURNS + b + 1) * _P).min()) & 0xFFFFFFFF, 0xFFFFFFFE)
+    return full
+
+
 def band_hashes(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) hashes of the signature's bands; no line may be empty."""
-    n, bins = len(lines), ROWS * BANDS
-    size = np.array([len(x) for x in lines], np.int64)
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    """(lines, BANDS) hashes of the signature's bands as signed longs; no line may be empty."""
+    sign = signatures(lines).astype(np.uint64)
+    out = np.empty((len(lines), BANDS), np.uint64)
     with np.errstate(over="ignore"):
-        one = np.ones(1, np.uint64)
-        power = np.cumprod(np.concatenate([one, np.full(len(code), _P, np.uint64)]), dtype=np.uint64)
-        inverse = np.cumprod(np.concatenate([one, np.full(len(code), pow(_P, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * power[:-1])])
-        begin = np.cumsum(size) - size
-        count = np.maximum(size - SHINGLE + 1, 1)
-        first = np.cumsum(count) - count
-        owner = np.repeat(np.arange(n), count)
-        at = begin[owner] + np.arange(count.sum()) - first[owner]
-        end = np.minimum(at + SHINGLE, (begin + size)[owner])
-        h = _mix((prefix[end] - prefix[at]) * inverse[at])
-        sign = np.full(n * bins, 1 << 32, np.uint64)
-        np.minimum.at(sign, owner * bins + (h >> _U(40)).astype(np.int64) % bins, h & _U(0xFFFFFFFF))
-        sign = sign.reshape(n, bins)
-        for _ in range(2):  # twice around
-            for j in range(bins - 1, -1, -1):
-                empty = sign[:, j] == 1 << 32
-                if empty.any():
-                    right = sign[:, (j + 1) % bins]
-                    sign[:, j] = np.where(empty & (right != 1 << 32), (right * _U(0x9E3779B1) + _U(0x85EBCA6B)) & _U(0xFFFFFFFF), sign[:, j])
-        out = np.empty((n, BANDS), np.uint64)
         for b in range(BANDS):
-            x = np.full(n, b + 1, np.uint64)
+            x = np.full(len(lines), b + 1, np.uint64)
             for r in range(ROWS):
-                x = _mix(x * _U(_P) + sign[:, b * ROWS + r])
+                x = _mix(x * _P + sign[:, b * ROWS + r])
             out[:, b] = x
     return out.view(np.int64)
 
@@ -113,11 +171,171 @@ def _lines(text: str | None) -> list[tuple[int, str]]:
     return [(k, s) for k, s in found if s]
 
 
-def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, lid) of every non-blank line."""
+class _Seen(set):
+    """Line ids that a task has met; from REMEMBERED on it learns no more, so ids come again."""
+
+    def new(self, ids: np.ndarray) -> np.ndarray:
+        _, first = np.unique(ids, return_index=True)
+        fresh = [k for k in first.tolist() if int(ids[k]) not in self]
+        if len(self) < REMEMBERED:
+            self.update(ids[fresh].tolist())
+        return np.array(fresh, np.int64)
+
+
+# Buckets ------------------------------------------------------------------------------
+
+
+def _planes(array: np.ndarray) -> bytes:
+    return np.ascontiguousarray(array.view(np.uint8).reshape(len(array), -1).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _block_rows(bucket: np.ndarray, lid: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Blocks of one run: (shard, hot, buckets as sorted deltas, lids)."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, lid = bucket[order], lid[order]
+    head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    count = np.diff(np.append(head, len(bucket)))
+    much = np.repeat(count > HOT, count)
+    place = ((bucket >> _U(_BUCKET_BITS - 32)) * _U(shards) >> _U(32)).astype(np.int64)
+    parts = [(0, place[~much], bucket[~much], lid[~much])]
+    if much.any():
+        # Two witnesses of a crowded band go to its own shard, its lines to shards of their own.
+        witness = np.concatenate([head[count > HOT], head[count > HOT] + 1])
+        witness.sort()
+        parts.append((1, place[witness], bucket[witness], lid[witness]))
+        b, x = bucket[much], lid[much]
+        with np.errstate(over="ignore"):
+            own = (_mix(b * _P + x) % _U(shards)).astype(np.int64)
+        order = np.lexsort((b, own))
+        parts.append((2, own[order], b[order], x[order]))
+    rows: list[tuple[int, int, bytes, bytes]] = []
+    for kind, shard, b, x in parts:
+        cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at = int(shard[i]) + (shards if kind == 2 else 0)
+            rows.append((at, kind, _planes(np.diff(b[i:j], prepend=_U(0))), _planes(x[i:j])))
+    shard, kind, buckets, lids = zip(*rows, strict=True)
+    return pa.record_batch(
+        [pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(buckets, pa.binary()), pa.array(lids, pa.binary())],
+        names=["shard", "kind", "buckets", "lids"],
+    )
+
+
+def _lists(keys: np.ndarray, lids: np.ndarray, cuts: np.ndarray, large: bool) -> pa.Table:
+    heads = cuts[:-1]
+    members = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(lids.view(np.int64)))
+    return pa.table({"bucket": pa.array(keys[heads].view(np.int64)), "lids": members, "large": pa.array([large] * len(heads), pa.bool_())})
+
+
+def _merge_blocks(blocks: pa.Table) -> pa.Table:
+    """Buckets of two or more lines of one shard: small ones whole, large ones in rows of 4,096."""
+    bucket = np.concatenate([np.cumsum(_from_planes(x)) for x in blocks.column("buckets").to_pylist()])
+    sizes = [len(x) // 8 for x in blocks.column("lids").to_pylist()]
+    lid = np.concatenate([_from_planes(x) for x in blocks.column("lids").to_pylist()])
+    kind = np.repeat(blocks.column("kind").to_numpy(), sizes)
+    order = np.lexsort((lid, bucket))
+    bucket, lid, kind = bucket[order], lid[order], kind[order]
+    new = np.append(True, (bucket[1:] != bucket[:-1]) | (lid[1:] != lid[:-1]))
+    group = np.cumsum(np.append(True, bucket[1:] != bucket[:-1])) - 1
+    crowded = np.zeros(group[-1] + 1, bool)
+    crowded[group[kind > 0]] = True
+    bucket, lid, group = bucket[new], lid[new], group[new]
+    count = np.bincount(group)
+    large = crowded | (count > SMALL)
+    out = []
+    for which, pick in ((False, ~large & (count > 1)), (True, large)):
+        keep = pick[group]
+        b, x, c = bucket[keep], lid[keep], count[pick]
+        if not len(b):
+            continue
+        cuts = np.append(0, np.cumsum(c))
+        if which:  # a long list in pieces
+            cuts = np.unique(np.concatenate([cuts, *(np.arange(i, j, 4096) for i, j in zip(cuts[:-1], cuts[1:], strict=True))]))
+        out.append(_lists(b, x, cuts, which))
+    return pa.concat_tables(out) if out else pa.table({"bucket": pa.array([], pa.int64()), "lids": pa.array([], pa.list_(pa.int64())), "large": pa.array([], pa.bool_())})
+
+
+def line_buckets(docs: DataFrame, text_col: str) -> DataFrame:
+    """(bucket, lids, large): the bands that two or more different lines share."""
+    size = docs.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
+    shards = -(-size // SHARD) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = _Seen(), []
+
+        def send():
+            bucket = np.concatenate([b for b, _ in held])
+            lid = np.concatenate([x for _, x in held])
+            held.clear()
+            return _block_rows(bucket, lid, shards)
+
+        for batch in small_batches(batches, 2 << 20):
+            lines = [s for text in batch.column(0).to_pylist() for _, s in _lines(text)]
+            if not lines:
+                continue
+            ids = line_ids(lines)
+            fresh = seen.new(ids)
+            for low in range(0, len(fresh), 4096):
+                part = fresh[low : low + 4096]
+                bands = band_hashes([lines[k] for k in part.tolist()]).view(np.uint64) >> _U(64 - _BUCKET_BITS)
+                held.append((bands.ravel(), np.repeat(ids[part].view(np.uint64), BANDS)))
+                if sum(len(x) for _, x in held) >= RUN * BANDS:
+                    yield send()
+        if held:
+            yield send()
+
+    blocks = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "shard int, kind int, buckets binary, lids binary")
+    return blocks.groupBy("shard").applyInArrow(_merge_blocks, "bucket long, lids array<long>, large boolean")
+
+
+# Lines --------------------------------------------------------------------------------
+
+
+class _Bitmap:
+    """Which line ids are needed: one bit for each value of an id's leading bits.
+
+    Its size is checked: beyond BITMAP_BITS there is none, every line counts as needed
+    and the join by line id alone sorts them out.
+    """
+
+    def __init__(self, needed: DataFrame, count: int):
+        self.bits = max(10, int(np.ceil(np.log2(max(1, count)))) + 4)
+        self.shared = None
+        if self.bits > BITMAP_BITS:
+            return
+        bits, pieces = self.bits, 16
+
+        def fill(group: pa.Table) -> pa.Table:
+            at = group.column("lid").to_numpy().view(np.uint64) >> _U(64 - bits)
+            marks = np.zeros((1 << bits) // pieces, bool)
+            marks[(at & _U(len(marks) - 1)).astype(np.int64)] = True
+            return pa.table({"piece": [group.column("piece")[0].as_py()], "marks": [np.packbits(marks).tobytes()]}, schema=pa.schema([("piece", pa.int32()), ("marks", pa.binary())]))
+
+        piece = F.shiftrightunsigned("lid", 60).cast("int").alias("piece")
+        found = needed.select("lid", piece).groupBy("piece").applyInArrow(fill, "piece int, marks binary").collect()
+        marks = np.zeros((pieces, (1 << bits) // pieces // 8), np.uint8)
+        for r in found:
+            marks[r["piece"]] = np.frombuffer(r["marks"], np.uint8)
+        self.shared = needed.sparkSession.sparkContext.broadcast(marks.ravel())
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        if self.shared is None:
+            return np.ones(len(ids), bool)
+        at = ids.view(np.uint64) >> _U(64 - self.bits)
+        return (self.shared.value[(at >> _U(3)).astype(np.int64)] >> (7 - (at & _U(7)).astype(np.uint8))) & 1 > 0
+
+
+def occurrences(docs: DataFrame, id_col: str, text_col: str, needed: _Bitmap | None = None) -> DataFrame:
+    """(id, line_no, lid, line) of every non-blank line; line is null but for the first of
+    each needed line id that a task meets."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in small_batches(batches, 2 << 20):
             row, number, lines = [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
@@ -126,110 +344,149 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     number.append(k)
                     lines.append(s)
             if lines:
+                ids, told = line_ids(lines), np.full(len(lines), None, object)
+                wanted = np.flatnonzero(needed.holds(ids)) if needed else np.zeros(0, np.int64)
+                for k in wanted[seen.new(ids[wanted])].tolist():
+                    told[k] = lines[k]
                 yield pa.record_batch(
-                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(line_ids(lines))], names=["id", "line_no", "lid"]
+                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(ids), pa.array(told, pa.string())],
+                    names=["id", "line_no", "lid", "line"],
                 )
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"id {kind}, line_no int, lid long")
+    return chosen.mapInArrow(run, f"id {kind}, line_no int, lid long, line string")
 
 
-def _distinct_lines(docs: DataFrame, text_col: str, emit, schema: str) -> DataFrame:
-    """What ``emit`` makes of (ids, lines), each task leaving out lines it remembers."""
+class _Shingled:
+    """A line's shingles: a set of strings, for a long line a sorted array of hashes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in small_batches(batches, 2 << 20):
-            lines = list({s for text in batch.column(0).to_pylist() for _, s in _lines(text)})
-            if not lines:
-                continue
-            ids = line_ids(lines)
-            new = [k for k, x in enumerate(ids.tolist()) if x not in seen]
-            if len(seen) < REMEMBERED:
-                seen.update(ids.tolist())
-            for low in range(0, len(new), 4096):
-                part = new[low : low + 4096]
-                yield emit(ids[part], [lines[k] for k in part])
+    __slots__ = ("items", "line", "size")
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    def __init__(self, line: str):
+        self.line = line
+        self.items = shingles(line) if len(line) <= LONG else shingle_hashes(line)
+        self.size = len(self.items)
 
+    def alike(self, other: _Shingled) -> bool:
+        small, big = (self, other) if self.size <= other.size else (other, self)
+        if small.size < THRESHOLD * big.size:
+            return False
+        if isinstance(small.items, set) and isinstance(big.items, set):
+            both = len(small.items & big.items)
+        else:
+            x, y = (s.items if isinstance(s.items, np.ndarray) else shingle_hashes(s.line) for s in (small, big))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= THRESHOLD * (self.size + other.size - both)
 
-def _bands(ids: np.ndarray, lines: list[str]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(band_hashes(lines).ravel()), pa.array(np.repeat(ids, BANDS))], names=["bucket", "lid"])
 
+def _test_piece(rows: list[tuple[int, int, bool, str]]) -> list[tuple[int, int]]:
+    """Links of one piece of work: rows (lid, root, hub, line); only pairs with a hub are tested.
 
-def _texts(ids: np.ndarray, lines: list[str]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(ids), pa.array(lines, pa.string())], names=["lid", "line"])
+    Lines that are linked already, here or before, are not tested again.
+    """
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    sets = [_Shingled(line) for _, _, _, line in rows]
+    links = []
+    for i, (a, ra, hub, _) in enumerate(rows):
+        if not hub:
+            continue
+        for j, (b, rb, other, _) in enumerate(rows):
+            if (j <= i and other) or a == b:
+                continue
+            x, y = top(ra), top(rb)
+            if x != y and sets[i].alike(sets[j]):
+                up[max(x, y)] = min(x, y)
+                links.append((a, b))
+    return links
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (piece, lid, root, hub, line) sorted by piece -> links (a, b)."""
+    now, rows = None, []
     for batch in batches:
-        x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        sets: dict[str, set[str]] = {}
-        held, keep = 0, []
-        for p, q in zip(x, y, strict=True):
-            if held > CACHED_SHINGLES:
-                sets.clear()
-                held = 0
-            a, b = sets.get(p) or shingles(p), sets.get(q) or shingles(q)
-            held += (p not in sets) * len(a) + (q not in sets) * len(b)
-            sets[p], sets[q] = a, b
-            both = len(a & b)
-            keep.append(both >= THRESHOLD * (len(a) + len(b) - both))
-        keep = pa.array(keep, pa.bool_())
-        yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-
-def line_components(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(node, root): line ids of every component of two or more different lines."""
-    spark = docs.sparkSession
-    buckets = _distinct_lines(docs, text_col, _bands, "bucket long, lid long").distinct()
-    buckets = written(buckets, "buckets")
-    several = buckets.groupBy("bucket").agg(F.min("lid").alias("x"), F.max("lid").alias("y")).where("x <> y").select("bucket")
-    members = written(buckets.join(several, "bucket"), "members")
-    needed = members.select("lid").distinct()
-    texts = _distinct_lines(docs, text_col, _texts, "lid long, line string").join(needed, "lid", "left_semi")
+        found: list[tuple[int, int]] = []
+        for piece, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if piece != now and rows:
+                found += _test_piece(rows)
+                rows = []
+            now = piece
+            rows.append(tuple(row))
+        if found:
+            yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+    found = _test_piece(rows)
+    yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+
+def _links(pieces: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of pieces (piece, lid, root, hub) by the lines' texts."""
+    rows = pieces.join(texts, "lid").select("piece", "lid", "root", "hub", "line")
+    return rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(_verify, "a long, b long")
+
+
+def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((node, root): line ids of every component of two or more different lines,
+    (id, line_no, lid, line): all lines, a written table)."""
+    found = written(line_buckets(docs, text_col), "buckets")
+    sets = written(found.where("NOT large").select("lids").distinct().select(F.xxhash64("lids").alias("piece"), "lids"), "sets")
+    members = written(found.where("large").select("bucket", F.explode("lids").alias("lid")).distinct(), "members")
+    discard(found)
+    needed = written(sets.select(F.explode("lids").alias("lid")).union(members.select("lid")).distinct(), "needed")
+    count = needed.count()
+    occ = written(occurrences(docs, id_col, text_col, _Bitmap(needed, count)), "lines")
+    texts = occ.where("line IS NOT NULL").select("lid", "line").join(needed, "lid", "left_semi")
     texts = written(texts.groupBy("lid").agg(F.first("line").alias("line")), "texts")
-    labels, turn = None, 0
-    while not members.isEmpty():
-        state = members.withColumn("root", F.col("lid"))
-        if labels is not None:
-            state = members.join(labels, F.col("lid") == F.col("node"), "left").select("bucket", "lid", F.coalesce("root", "lid").alias("root"))
-        state = written(state, "state")
-        # Of each bucket still in several components: its size and its largest component.
-        parts = state.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket")
-        parts = parts.agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-        open_ = written(parts.select("bucket", "n", (F.col("n") - F.col("most.c")).alias("k"), F.col("most.root").alias("main")), "open")
-        now = written(state.join(open_, "bucket"), "now")
-        few = now.where(f"n <= {SMALL}").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("lid", "root"))).alias("m"))
-        pairs = few.select(F.explode("m").alias("p"), "m").select("p", F.explode("m").alias("q"))
-        # The hubs of a large bucket are lines outside its largest component, whose own pairs
-        # need no test: the smallest such line, and those of the smallest hashes of the round.
-        many = now.where(f"n > {SMALL}")
-        if not many.isEmpty():
-            outside = F.col("root") != F.col("main")
-            least = many.where(outside).groupBy("bucket").agg(F.min("lid").alias("least"))
+    discard(needed)
+    pieces = sets.select("piece", F.explode("lids").alias("lid")).withColumn("root", F.col("lid")).withColumn("hub", F.lit(True))
+    labels, turn, similar = None, 0, None
+    while True:
+        many = None
+        if not members.isEmpty():
+            state = members.withColumn("root", F.col("lid"))
+            if labels is not None:
+                state = members.join(labels, F.col("lid") == F.col("node"), "left").select("bucket", "lid", F.coalesce("root", "lid").alias("root"))
+            state = written(state, "state")
+            # Of each bucket still in several components: its size and its largest component.
+            parts = state.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min("lid").alias("least")).groupBy("bucket")
+            one = F.struct("least", "root")
+            parts = parts.agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("most"), F.min(one).alias("low"), F.max(one).alias("high"), F.count("*").alias("roots"))
+            outside = F.when(F.col("low.root") != F.col("most.root"), F.col("low.least")).otherwise(F.col("high.least"))
+            parts = parts.where("roots > 1").select("bucket", "n", (F.col("n") - F.col("most.c")).alias("k"), F.col("most.root").alias("main"), outside.alias("least"))
+            parts = written(parts, "open")
+            # The hubs are lines outside the bucket's largest component, whose own pairs need no
+            # test: one such line that is always found, and those of the smallest hashes of the round.
             hubs = HUBS if turn == 0 else MOST_HUBS
             drawn = F.pmod(F.xxhash64("lid", F.lit(turn)), F.lit(1 << 30)) * F.col("k") < hubs << 30
-            hub = outside & (drawn | (F.col("lid") == F.col("least")))
-            many = written(many.join(least, "bucket").withColumn("hub", hub).drop("least"), "many")
-            hubs = many.where("hub").select("bucket", F.struct("lid", "root").alias("p"))
-            star = many.join(hubs, "bucket").select("p", F.struct("lid", "root").alias("q"))
-            star = star.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
-            pairs = pairs.union(star)
-            # Hubs have met all their bucket; the rest go on without them.
-            members = written(many.where("NOT hub").select("bucket", "lid"), "members")
-            turn += 1
-        else:
-            members = members.limit(0)
-        pairs = pairs.where("p.lid < q.lid AND p.root <> q.root").select(F.col("p.lid").alias("a"), F.col("q.lid").alias("b")).distinct()
-        left, right = texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), texts.select(F.col("lid").alias("b"), F.col("line").alias("y"))
-        pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        similar = written(pairs.mapInArrow(_similar, "a long, b long"), "similar")
+            hub = (F.col("root") != F.col("main")) & (drawn | (F.col("lid") == F.col("least")))
+            many = written(weighted_join(state, parts, "bucket", "n", state.count()).select("bucket", "lid", "root", "n", hub.alias("hub")), "many")
+            # Each piece of a bucket's lines goes beside all hubs of the round.
+            shares = F.ceil(F.col("n") / PIECE).cast("int")
+            others = many.where("NOT hub").withColumn("share", F.pmod(F.xxhash64("lid"), shares).cast("int"))
+            every = many.where("hub").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
+            large = others.unionByName(every).select(F.xxhash64("bucket", "share", F.lit(turn)).alias("piece"), "lid", "root", "hub")
+            pieces = large if pieces is None else pieces.unionByName(large)
+            discard(state, parts)
+        if pieces is None:
+            break
+        edges = _links(pieces, texts)
+        old = labels
         # What earlier rounds linked comes back as stars.
-        edges = similar if labels is None else similar.union(labels.select("node", "root"))
-        labels = written(connected_components(edges), "labels")
-    return labels if labels is not None else spark.createDataFrame([], "node long, root long")
+        labels = written(connected_components(edges if old is None else edges.union(old.select("node", "root"))), "labels")
+        discard(old)
+        pieces, turn = None, turn + 1
+        if many is None:
+            break
+        # Hubs have met all their bucket; the rest go on without them.
+        old, members = members, written(many.where("NOT hub").select("bucket", "lid"), "members")
+        discard(old, many)
+    discard(sets, members, texts)
+    return labels, occ
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,22 +497,27 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count each, and the same line number of the same id stays or goes in all of them.
     Other columns are ignored; an empty table gives no rows.
     """
-    occ = written(occurrences(docs, id_col, text_col), "occ")
-    labels = line_components(docs, text_col)
-    occ = occ.join(labels, F.col("lid") == F.col("node"), "left").select("id", "line_no", F.coalesce("root", "lid").alias("class_id"))
+    labels, occ = line_components(docs, id_col, text_col)
+    total = occ.count()
     place = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("line_no"))
-    keep = occ.groupBy("class_id").agg(F.min(place).alias("k"), F.count("*").alias("class_size"))
-    keep = keep.select("class_id", F.col("k.id").alias("keep_id"), F.col("k.line_no").alias("keep_line"), "class_size")
+    # Equal lines first, then the lines of a component: all sums are partial.
+    lids = occ.groupBy("lid").agg(F.min(place).alias("k"), F.count("*").alias("copies"))
+    lids = lids.join(labels, F.col("lid") == F.col("node"), "left").select("lid", "k", "copies", F.coalesce("root", "lid").alias("class_id"))
+    lids = written(lids, "lids")
+    keep = lids.groupBy("class_id").agg(F.min("k").alias("k"), F.sum("copies").alias("class_size"), F.count("*").alias("different"))
+    lids = weighted_join(lids.select("lid", "copies", "class_id"), keep, "class_id", "different", total)
+    lids = written(lids.select("lid", "copies", "class_id", F.col("k.id").alias("keep_id"), F.col("k.line_no").alias("keep_line"), "class_size"), "classes")
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("line_no") == F.col("keep_line"))
-    return occ.join(keep, "class_id").select("id", "line_no", "class_id", "keep_id", "keep_line", "class_size", kept.alias("kept"))
+    out = weighted_join(occ.select("id", "line_no", "lid"), lids, "lid", "copies", total)
+    return out.select("id", "line_no", "class_id", "keep_id", "keep_line", "class_size", kept.alias("kept"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that are not kept; all columns stay, null text stays null."""
     lost = line_classes(docs, id_col, text_col).where(~F.col("kept"))
-    lost = lost.groupBy("id").agg(F.collect_set("line_no").alias("lost")).select(F.col("id").alias("__lost_id"), "lost")
-    gone = free_name(docs, "gone")
-    rows = docs.join(lost.withColumnRenamed("lost", gone), docs[id_col].eqNullSafe(F.col("__lost_id")), "left")
+    of, gone = free_name(docs, "lost_id"), free_name(docs, "gone")
+    lost = lost.groupBy("id").agg(F.collect_set("line_no").alias(gone)).withColumnRenamed("id", of)
+    rows = docs.join(lost, docs[id_col].eqNullSafe(lost[of]), "left")
     lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
     new = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
     return rows.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -1,8 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import pytest
 
-from quillmark.llm.line_dedup import band_hashes, jaccard, line_classes, line_dedup, shingles, squeezed
+from quillmark.llm import line_dedup as L
+from quillmark.llm.line_dedup import (
+    _block_rows, _merge_blocks, _Shingled, band_hashes, jaccard, line_classes, line_dedup, shingles, signatures, squeezed,
+)
 
 SCHEMA = "doc_id long, text string, gone string, lid int"
 
@@ -59,17 +65,59 @@ def test_matches_brute_force(spark):
     assert len(kept) == len(set(got.values()))
 
 
-def test_recall_at_the_threshold():
-    rng = random.Random(1)
-    hits = total = 0
-    while total < 400:
-        a = "".join(rng.choices("abcdefgh ", k=200))
-        b = a[:100] + "#" * rng.randint(1, 14) + a[100 + rng.randint(0, 14) :]
+@pytest.mark.parametrize("length", [30, 50, 100, 200])
+def test_recall_at_the_threshold(length):
+    rng = random.Random(length)
+    hits = total = tries = 0
+    while total < 400 and tries < 200_000:
+        tries += 1
+        a = "".join(rng.choices("abcdefgh ", k=length))
+        cut = rng.randrange(length)
+        b = a[:cut] + "#" * rng.randint(0, 1 + length // 12) + a[cut + rng.randint(0, 1 + length // 12) :]
         if 0.8 <= jaccard(a, b) < 0.87:
             x = band_hashes([a, b])
             hits += bool(np.any(x[0] == x[1]))
             total += 1
-    assert hits / total > 0.97
+    assert total == 400 and hits / total > 0.97
+
+
+def test_long_lines_are_hashed_alike(monkeypatch):
+    rng = random.Random(3)
+    a = "".join(rng.choices("abcdefgh ", k=30_000))
+    b = a[:15_000] + "xyz" + a[15_000:]
+    assert _Shingled(a).alike(_Shingled(b)) and not _Shingled(a).alike(_Shingled(a[:15_000]))
+    whole = signatures([a, "x", b])
+    monkeypatch.setattr(L, "WINDOW", 1000)
+    assert np.array_equal(signatures([a, "x", b]), whole)
+
+
+def test_crowded_bands_lose_no_line():
+    rng = np.random.default_rng(5)
+    lid = rng.integers(1, 1 << 62, 5000).astype(np.uint64)
+    crowded = np.concatenate([np.full(1000, 77, np.uint64), rng.integers(0, 1 << 48, 4000).astype(np.uint64)])
+    blocks = [pa.Table.from_batches([_block_rows(crowded, lid, 3)])]
+    blocks.append(pa.Table.from_batches([_block_rows(np.array([77, 5, 9, 9], np.uint64), np.array([1, 2, 3, 4], np.uint64), 3)]))
+    rows = pa.concat_tables(blocks)
+    found = {}
+    for shard in set(rows.column("shard").to_pylist()):
+        part = rows.filter(pa.compute.equal(rows.column("shard"), shard))
+        for r in _merge_blocks(part).to_pylist():
+            found.setdefault(r["bucket"], set()).update(x & 0xFFFFFFFFFFFFFFFF for x in r["lids"])
+    assert found[77] == {int(x) for x in lid[:1000]} | {1}
+    assert found[9] == {3, 4} and 5 not in found
+
+
+def test_lines_beyond_the_bitmap_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(L, "BITMAP_BITS", 3)
+    rows = corpus()[:40]
+    got = {(r["id"], r["line_no"]): (r["keep_id"], r["keep_line"]) for r in line_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "some line of text\nsome line of text", "a", 1, 2)], "doc_id long, text string, gone string, lost_id int, id int")
+    out = line_dedup(df)
+    assert out.columns == df.columns and out.first()["text"] == "some line of text"
 
 
 def test_edges(spark):
