@@ -1,52 +1,12 @@
-"""Distributed union-find: connected components by alternating large-star and small-star.
-
-Every step is a partial aggregation and an equi-join, each round's edges are a written
-table (the one before is deleted), and nothing is gathered on the driver but two numbers a
-round.  A hub's rows need not meet in one task: the minimum is pre-aggregated, and the few
-nodes that hold a large share of all edges are joined by broadcast.
-"""
+"""Spanning labels inside one task; components over tables come from ``operators.graph``."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .shared import discard, weighted_join, written
-
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) of one orderable type -> (node, root), root = smallest node reachable.
+from ..operators.graph import connected_components
 
-    Nodes without an edge do not appear.  Loops, repeated edges and both directions are
-    allowed; edges with a null end are ignored; no edges give no rows.
-    """
-    a, b = F.col("a"), F.col("b")
-    now = written(
-        edges.where(a.isNotNull() & b.isNotNull() & (a != b))
-        .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-        .distinct(),
-        "edges",
-    )
-    before, total = None, now.count()
-    while total:
-        # Large star: a node's larger neighbours move to its smallest neighbour.
-        both = now.union(now.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        least = least.select("a", F.least("a", "m").alias("m"), "n")
-        big = weighted_join(both.where(b > a), least, "a", "n", total).select(b.alias("a"), F.col("m").alias("b")).distinct()
-        big = written(big, "star")
-        # Small star: a node and its smaller neighbours move to the smallest of them.
-        small = big.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        star = weighted_join(big, small, "a", "n", total).where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
-        old, now = now, written(star.union(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        discard(old, big)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == before:
-            break
-        before, total = state, state[0]
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+__all__ = ["connected_components", "spanning"]
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -14,9 +14,9 @@ Method
    for single.  Shards give the buckets of two or more lines; equal buckets count once.
 4. Only lines of such buckets travel with their text.  A bucket of up to SMALL lines tests
    its pairs at once by the exact Jaccard similarity of the shingle sets.  Larger ones go
-   in pieces of PIECE lines beside a few hubs a round, and on only while their lines still
-   lie in different components, so n near copies cost about HUBS * n tests.  No bucket is
-   cut short.
+   in pieces of PIECE lines beside some hubs a round, and on only while their lines still
+   lie in different components, so n near copies cost about HUBS * n tests.  Hubs grow by
+   MORE from round to round, so there are few rounds.  No bucket is cut short.
 5. Components by distributed union-find; of each the first line by (document, line) stays.
 """
 
@@ -39,9 +39,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 5, 14
 BINS = ROWS * BANDS
 #: Buckets of so many lines compare all pairs at once; larger ones take about HUBS hubs in the
-#: first round, when all lines are apart, and MOST_HUBS in each further one.
-SMALL, HUBS, MOST_HUBS = 64, 2, 32
-#: Lines of a large bucket that are tested beside the round's hubs in one piece of work.
+#: first round, when all lines are apart, and MORE times as many in each further one.
+SMALL, HUBS, MORE = 64, 2, 16
+#: Lines of a large bucket, and hubs of the round, that are tested in one piece of work.
 PIECE = 512
 #: Characters aimed at per shard of the bands, lines a task gathers before it sends blocks,
 #: and how many of them may share a band before it is dealt by line.
@@ -392,13 +392,15 @@ def _test_piece(rows: list[tuple[int, int, bool, str]]) -> list[tuple[int, int]]
             x = up[x]
         return x
 
-    sets = [_Shingled(line) for _, _, _, line in rows]
+    known = {a: line for a, _, _, line in rows}  # a hub comes as a line of its bucket, too
+    known = {a: _Shingled(line) for a, line in known.items()}
+    sets = [known[a] for a, *_ in rows]
     links = []
     for i, (a, ra, hub, _) in enumerate(rows):
         if not hub:
             continue
         for j, (b, rb, other, _) in enumerate(rows):
-            if (j <= i and other) or a == b:
+            if (other and j <= i) or a == b:
                 continue
             x, y = top(ra), top(rb)
             if x != y and sets[i].alike(sets[j]):
@@ -461,15 +463,17 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             parts = written(parts, "open")
             # The hubs are lines outside the bucket's largest component, whose own pairs need no
             # test: one such line that is always found, and those of the smallest hashes of the round.
-            hubs = HUBS if turn == 0 else MOST_HUBS
-            drawn = F.pmod(F.xxhash64("lid", F.lit(turn)), F.lit(1 << 30)) * F.col("k") < hubs << 30
+            hubs = HUBS * MORE**turn
+            drawn = F.pmod(F.xxhash64("lid", F.lit(turn)), F.lit(1 << 30)) * F.col("k") < F.lit(float(hubs << 30))
             hub = (F.col("root") != F.col("main")) & (drawn | (F.col("lid") == F.col("least")))
-            many = written(weighted_join(state, parts, "bucket", "n", state.count()).select("bucket", "lid", "root", "n", hub.alias("hub")), "many")
-            # Each piece of a bucket's lines goes beside all hubs of the round.
-            shares = F.ceil(F.col("n") / PIECE).cast("int")
-            others = many.where("NOT hub").withColumn("share", F.pmod(F.xxhash64("lid"), shares).cast("int"))
-            every = many.where("hub").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
-            large = others.unionByName(every).select(F.xxhash64("bucket", "share", F.lit(turn)).alias("piece"), "lid", "root", "hub")
+            many = written(weighted_join(state, parts, "bucket", "n", state.count()).select("bucket", "lid", "root", "n", "k", hub.alias("hub")), "many")
+            # A grid of pieces: each share of the bucket's lines beside each share of its hubs.
+            rows = F.ceil(F.col("n") / PIECE).cast("int")
+            columns = F.ceil(F.least(F.col("k"), F.lit(hubs).cast("long")) / PIECE).cast("int")
+            own, every = (lambda count: F.pmod(F.xxhash64("lid"), count).cast("int")), (lambda count: F.explode(F.sequence(F.lit(0), count - 1)))
+            lines = many.withColumn("row", own(rows)).withColumn("column", every(columns)).withColumn("hub", F.lit(False))
+            centres = many.where("hub").withColumn("column", own(columns)).withColumn("row", every(rows))
+            large = lines.unionByName(centres.select(lines.columns)).select(F.xxhash64("bucket", "row", "column", F.lit(turn)).alias("piece"), "lid", "root", "hub")
             pieces = large if pieces is None else pieces.unionByName(large)
             discard(state, parts)
         if pieces is None:

@@ -1,10 +1,4 @@
-"""Shared-folder helpers used by the operators that cut lineage or write files.
-
-Everything an operator materialises goes below the folder that the session names in
-``spark.checkpoint.dir``; executors and driver all see it.  Only a local session without
-that setting (unit tests, a laptop) gets a folder below the system's temporary folder; a
-cluster without it is an error, as a machine's own folder would lose rows there.
-"""
+"""Words, tables and files shared by the operators; materialisation lives in ``plans.scratch``."""
 
 from __future__ import annotations
 
@@ -15,76 +9,41 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import bounded, discard, free_name, scratch, shared_dir, weighted_join, written
+
+__all__ = ["SPACES", "WORD", "Folder", "bounded", "discard", "free_name", "keep_rows", "scratch", "shared_dir", "table", "weighted_join", "written"]
+
 #: Whitespace of the word rule ``[^\x20\x09-\x0D]+``.
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that the driver and every executor can read and write."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = os.environ.get("QUILLMARK_SHARED") or os.path.join(tempfile.gettempdir(), "quillmark-shared")
-    os.makedirs(path, exist_ok=True)
-    return "file://" + path
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh URI below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/quillmark-{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage with a written table: the plan runs once and the rows outlive executors."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(*tables: DataFrame | None) -> None:
-    """Delete the folders of ``written`` tables that nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_scratch", None)
-        if path is not None:
-            jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(session.sessionState().newHadoopConf()).delete(place, True)
-
-
-#: A key that holds more than this share of all rows is joined by broadcast.
-HOT_SHARE = 1 / 1024
-
-
-def weighted_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
-    """``left`` joined to ``right`` on ``key`` (unique in ``right``), safe from hot keys.
-
-    ``weight`` says how many rows of ``left`` have the key, ``total`` how many rows there
-    are.  Keys above HOT_SHARE of them are 1 / HOT_SHARE at most, whatever the input: they
-    are broadcast, and their rows stay where they are; all others are shuffled.  ``left``
-    is read twice.  ``how`` is inner or left.
-    """
-    hot = F.col(weight) > max(1000.0, total * HOT_SHARE)
-    many = F.broadcast(right.where(hot))
-    few = left.join(F.broadcast(right.where(hot).select(key)), key, "left_anti")
-    return left.join(many, key).unionByName(few.join(right.where(~hot), key, how))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, with underscores appended until no column of ``df`` has it (any case)."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+def keep_rows(docs: DataFrame, id_col: str, judged: DataFrame, marked) -> DataFrame:
+    """Rows of ``docs`` that ``judged`` keeps, all columns unchanged.
+
+    ``judged`` (a written table) has (id, mark, kept) for every row of ``docs``.  Where an id
+    is not null and stands for one row, its verdict is the row's, and texts are shuffled by
+    id only if more ids are lost than may be broadcast.  Rows whose id is null or repeated
+    are told apart by ``mark``, which ``marked(df, name)`` adds to them; those that repeat
+    both are one row.
+    """
+    of, mark = free_name(docs, "kept_of"), free_name(docs, "kept_mark")
+    several = judged.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").select(F.col("id").alias(of))
+    several = written(several, "several")
+    among = lambda df, how: df.join(bounded(several), df[id_col].eqNullSafe(several[of]), how)
+    lost = written(judged.where(~F.col("kept") & F.col("id").isNotNull()).select(F.col("id").alias(of)).distinct(), "lost")
+    if several.isEmpty():
+        return docs.join(bounded(lost), docs[id_col] == lost[of], "left_anti")
+    single = among(docs, "left_anti")
+    single = single.join(bounded(lost), single[id_col] == lost[of], "left_anti")
+    again = marked(among(docs, "left_semi"), mark)
+    kept = judged.where("kept").select(F.col("id").alias(of), F.col("mark").alias("of_mark")).distinct()
+    again = again.join(kept, again[id_col].eqNullSafe(kept[of]) & (again[mark] == kept["of_mark"]), "left_semi")
+    return single.union(again.dropDuplicates([id_col, mark]).drop(mark))
 
 
 class Folder:
