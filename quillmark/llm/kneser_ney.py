@@ -1,30 +1,36 @@
-"""Interpolated modified Kneser-Ney language model, counted in Spark.
+"""Interpolated modified Kneser-Ney language model of order three, counted in Spark.
 
 Method
 ------
 1. Words of the training texts are hashed to 64 bits (XXH64) and counted; the sorted hash
    array of each range of leading bits is one file of the shared folder.  A word's id is
-   its rank over all ranges.
-2. Bigrams (context id, word id) are counted in bounded runs, sent as sorted, compressed
-   blocks to shards by context and merged there into sorted arrays with their counts.
-   Contexts that hold a large share of all tokens are dealt by context and word, so no
-   shard holds a hot context alone.
-3. Context totals, follower counts and continuation counts are summed per word.
-4. Workers memory-map the arrays and look up whole batches at once, in sorted order:
-
-     p(w | v) = max(c(v w) - D(c), 0) / c(v .) + gamma(v) p(w)
-     p(w)     = max(N(. w) - D'(N), 0) / N(. .) + gamma' / (V + 1)
-
-   with the modified discounts D1, D2, D3+ of each order.  The text's start is a context,
-   its end a token; the last term leaves the unknown word its share.
-
-The driver holds a few sums and at most a bounded list of hot contexts.  Files are written
-under a temporary name and renamed, so a repeated task leaves the same file.
+   its rank over all ranges, so every further array is one of sorted ranks of hashes.
+2. Trigrams (u, v, w) are counted in bounded runs, sent as sorted, compressed blocks to
+   shards by their middle word v and merged there.  So a shard holds whole contexts (u, v)
+   and all trigrams from which a bigram (v, w) gets its adjusted count, the number of
+   different u.  A middle word that a shard could not hold is dealt by (u, v), the text's
+   start by (v, w); the adjusted counts of these are summed by (v, w) in a second step.
+3. Totals and counts of counts of the one-word contexts, and the number of words v that w
+   follows, are summed per word.
+4. Workers memory-map the arrays and look up whole batches at once:
+
+     p(w | u v) = max(c(u v w) - D3(c), 0) / c(u v .) + g(u v) p(w | v)
+     p(w | v)   = max(a(v w) - D2(a), 0) / a(v .) + g(v) p(w)
+     p(w)       = max(a(w) - D1(a), 0) / a(.) + g / (V + 1)
+
+   c are counts; a are adjusted counts (numbers of different words before), but counts
+   where the first word is the text's start.  Each order has the modified discounts for
+   counts 1, 2 and 3 or more.  A text's first word has only its start as context, its end
+   is a token; the last term leaves the unknown word its share.
+
+The driver holds a few sums and the ids of the words dealt otherwise, fewer than there are
+shards.  Files are written under a temporary name and renamed, so a repeated task leaves
+the same file.
 """
 
 from __future__ import annotations
 
-import zlib
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,17 +40,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Folder, scratch, table, written
+from .shared import Folder, discard, scratch, table, written
 from .textkernel import buffers, normalised_words, small_batches, xxh64
 
 FOLDS, HELD_OUT = 7, 2
-#: Tokens counted before a block is emitted, and tokens aimed at per shard.
-RUN, SHARD = 2_000_000, 2_000_000
+#: Tokens counted before a block is emitted (below 2^21, see ``_counted``), and tokens aimed at per shard.
+RUN, SHARD = 1_500_000, 3_000_000
 LEAST_SHARDS = 32
+#: Characters of training text for each range of the vocabulary.
+RANGE = 64 << 20
+#: Contexts with so many followers have their sums stored; those of others are made when asked for.
+HEAVY = 16
+#: Files that a worker keeps mapped.
+MAPPED = 4096
 
 _U = np.uint64
 # A space is in no word, so these are no word's bytes.
-_END, _START = (int(xxh64(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0]) for b in (b" ", b"  "))
+_END = int(xxh64(np.frombuffer(b" ", np.uint8), np.array([0]), np.array([1]))[0])
 
 
 @dataclass
@@ -54,10 +66,9 @@ class Model:
     first_id: np.ndarray  # first id of each range, and V at the end
     tokens: int
     shards: int
-    hot: np.ndarray  # sorted ids of hot contexts
-    high: tuple[float, float, float]
-    low: tuple[float, float, float]
-    low_mass: float  # gamma' of the lower order
+    hot: np.ndarray  # sorted ids of words dealt by (u, v); the last is V, the text's start
+    discounts: tuple[tuple[float, float, float], ...]  # of orders 1 to 3
+    mass: float  # what order 1 leaves to the unknown word's share
     continuations: int
 
     @property
@@ -99,13 +110,18 @@ def _cuts(sorted_shard: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.diff(sorted_shard, prepend=-1)), len(sorted_shard))
 
 
+_ZSTD = "zstd"
+
+
 def _squeeze(array: np.ndarray) -> bytes:
-    """Little-endian bytes, plane by plane, compressed."""
-    return zlib.compress(array.view(np.uint8).reshape(len(array), -1).T.tobytes(), 1)
+    """Little-endian bytes, plane by plane, compressed; the length goes before."""
+    planes = np.ascontiguousarray(array.view(np.uint8).reshape(len(array), -1).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.Codec(_ZSTD, 1).compress(planes, asbytes=True)
 
 
-def _expand(raw: bytes, dtype: str) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+def _expand(raw: bytes, dtype: str = "<u8") -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.Codec(_ZSTD).decompress(raw[8:], size, asbytes=True), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
@@ -123,24 +139,66 @@ class Arrays:
             cls._now = cls(uri)
         return cls._now
 
-    def get(self, name: str, fields: tuple[tuple[str, str], ...]) -> dict[str, np.ndarray]:
+    def find(self, name: str) -> dict[str, np.ndarray] | None:
+        """The arrays, or None if no such file was written."""
+        try:
+            return self.get(name)
+        except FileNotFoundError:
+            return None
+
+    def get(self, name: str) -> dict[str, np.ndarray]:
         if name not in self.maps:
-            raw, at, found = self.folder.mapped(name), 8, {}
-            n = int(np.frombuffer(raw, "<u8", 1)[0])
-            for field, dtype in fields:
-                found[field] = np.frombuffer(raw, dtype, n, at)
-                at += n * np.dtype(dtype).itemsize
-            self.maps[name] = found
+            while len(self.maps) >= MAPPED:
+                del self.maps[next(iter(self.maps))]
+            raw = self.folder.mapped(name)
+            size = int(np.frombuffer(raw, "<u8", 1)[0])
+            fields = json.loads(raw[8 : 8 + size])
+            self.maps[name] = {f: np.frombuffer(raw, dtype, n, at + 8 + size) for f, dtype, n, at in fields}
         return self.maps[name]
 
 
-VOCABULARY = (("hash", "<u8"), ("count", "<u8"))
-LEXICON = (("total", "<u8"), ("continuation", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"))
-BIGRAMS = (("key", "<u8"), ("count", "<u4"))
-
-
-def _save(uri: str, name: str, *arrays: np.ndarray) -> None:
-    Folder(uri).write(name, [np.array([len(arrays[0])], "<u8").tobytes(), *(a.tobytes() for a in arrays)])
+def _save(uri: str, name: str, **arrays: np.ndarray) -> None:
+    """One file: a list of (name, type, length, place), then the arrays, each at a multiple of eight."""
+    fields, at, parts = [], 0, []
+    for field, a in arrays.items():
+        fields.append((field, a.dtype.str, len(a), at))
+        raw = a.tobytes()
+        parts += [raw, b"\0" * (-len(raw) % 8)]
+        at += len(raw) + -len(raw) % 8
+    head = json.dumps(fields).encode()
+    head += b" " * (-len(head) % 8)
+    Folder(uri).write(name, [len(head).to_bytes(8, "little"), head, *parts])
+
+
+def _counts_of(name: str, c: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts as bytes; those from 255 on stand beside, by place."""
+    big = np.flatnonzero(c >= 255)
+    return {f"{name}_count": np.minimum(c, 255).astype("u1"), f"{name}_big": big.astype("<u8"), f"{name}_value": c[big].astype("<u8")}
+
+
+def _count_at(found: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    c = found[f"{name}_count"][at].astype(np.int64)
+    big = np.flatnonzero(c == 255)
+    if len(big):
+        c[big] = found[f"{name}_value"][np.searchsorted(found[f"{name}_big"], at[big].astype(np.uint64))]
+    return c
+
+
+def _find(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted value in its own ascending stretch values[low:high], or -1."""
+    low, high, end = low.astype(np.int64), high.astype(np.int64), high.astype(np.int64)
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        middle = (low[open_] + high[open_]) >> 1
+        less = values[middle] < wanted[open_]
+        low[open_[less]] = middle[less] + 1
+        high[open_[~less]] = middle[~less]
+        open_ = open_[low[open_] < high[open_]]
+    hit = np.flatnonzero(low < end)
+    hit = hit[values[low[hit]] == wanted[hit]]
+    out = np.full(len(low), -1, np.int64)
+    out[hit] = low[hit]
+    return out
 
 
 def word_ids(uri: str, bits: int, first_id: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +210,7 @@ def word_ids(uri: str, bits: int, first_id: np.ndarray, hashes: np.ndarray) -> t
         s = int(shard[i])
         if first_id[s] == first_id[s + 1]:
             continue
-        v = Arrays.of(uri).get(f"words-{s}", VOCABULARY)
+        v = Arrays.of(uri).get(f"words-{s}")
         at = np.minimum(np.searchsorted(v["hash"], hashes[i:j]), len(v["hash"]) - 1)
         hit = v["hash"][at] == hashes[i:j]
         ids[i:j][hit] = first_id[s] + at[hit]
@@ -160,19 +218,52 @@ def word_ids(uri: str, bits: int, first_id: np.ndarray, hashes: np.ndarray) -> t
     return ids, counts
 
 
-def bigram_shard(context: np.ndarray, word: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each bigram: by context, for hot contexts by the word too."""
+def _hash(*parts: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(parts[0]), np.uint64)
     with np.errstate(over="ignore"):
-        h = context.astype(np.uint64) * _U(0x9E3779B97F4A7C15)
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-            h = np.where(hot[at] == context, h + word.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F), h)
-        h ^= h >> _U(29)
-        h *= _U(0xBF58476D1CE4E5B9)
-        h ^= h >> _U(32)
+        for p in parts:
+            h = (h ^ p.astype(np.uint64)) * _U(0x9E3779B97F4A7C15)
+            h ^= h >> _U(29)
+            h *= _U(0xBF58476D1CE4E5B9)
+            h ^= h >> _U(32)
+    return h
+
+
+def _is_in(sorted_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(sorted_ids, ids), len(sorted_ids) - 1)
+    return sorted_ids[at] == ids
+
+
+def trigram_shard(u: np.ndarray, v: np.ndarray, w: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+    """By the middle word; a hot one's by (u, v), the start's (hot[-1]) by (v, w)."""
+    other = np.where(v == hot[-1], w, u)
+    h = np.where(_is_in(hot, v), _hash(v, other), _hash(v))
     return (h % _U(shards)).astype(np.int64)
 
 
+def bigram_shard(v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+    return (_hash(v, w) % _U(shards)).astype(np.int64)
+
+
+def _counted(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray | None = None):
+    """Distinct (v, u, w), ascending in that order, with their counts or summed counts."""
+    (dv, iv), (du, iu), (dw, iw) = (np.unique(x, return_inverse=True) for x in (v, u, w))
+    bu, bw = (max(1, len(d) - 1).bit_length() for d in (du, dw))
+    if bu + bw + max(1, len(dv) - 1).bit_length() <= 64:
+        keys = (iv.astype(np.uint64) << _U(bu + bw)) | (iu.astype(np.uint64) << _U(bw)) | iw.astype(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+    else:
+        order = np.lexsort((iw, iu, iv))
+        iv, iu, iw = iv[order], iu[order], iw[order]
+        new = np.append(True, (iv[1:] != iv[:-1]) | (iu[1:] != iu[:-1]) | (iw[1:] != iw[:-1]))
+    head = np.flatnonzero(new)
+    first = order[head]
+    total = np.diff(np.append(head, len(order))) if c is None else np.add.reduceat(c[order], head)
+    return u[first], v[first], w[first], total
+
+
 def _discounts(n: list[int]) -> tuple[float, float, float]:
     """D1, D2, D3+ from the counts of counts 1 to 4; 0.5, 0.75 and 0.9 where one is missing."""
     n1, n2, n3, n4 = n
@@ -187,12 +278,35 @@ def _discount(d: tuple[float, float, float], c: np.ndarray) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(c, 3)]
 
 
+def _sums(context_ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Per run of equal contexts: (ids, [total, how many 1, 2, and 3 or more])."""
+    head = np.flatnonzero(np.append(True, context_ids[1:] != context_ids[:-1])) if len(context_ids) else np.zeros(0, np.int64)
+    fields = (counts, (counts == 1).astype(np.int64), (counts == 2).astype(np.int64), (counts >= 3).astype(np.int64))
+    return context_ids[head], [np.add.reduceat(x, head) if len(head) else x for x in fields]
+
+
+# Rows that the counting steps leave: parts of bigrams, contexts' sums, continuations of
+# words, and counts of counts of orders 3 and 2.
+_BIGRAMS, _CONTEXTS, _FOLLOWED, _ORDER3, _ORDER2 = range(5)
+_STATS = "kind int, shard int, ids binary, f0 binary, f1 binary, f2 binary, f3 binary, c1 long, c2 long, c3 long, c4 long"
+
+
+def _row(kind: int, shard: int, arrays=(), counts=(0, 0, 0, 0)) -> tuple:
+    cells = [_squeeze(np.asarray(a).astype("<u8")) for a in arrays]
+    return (kind, shard, *cells, *[b""] * (5 - len(cells)), *counts)
+
+
+def _stats_frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _STATS.split(", ")])
+
+
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Count all rows of ``docs`` (null text: empty) and leave the arrays in the shared folder."""
     spark = docs.sparkSession
     uri = scratch(spark, "ngrams")
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    bits = min(12, max(4, int(np.ceil(np.log2(max(1, texts.count() / 8192))))))
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = max(4, int(np.ceil(np.log2(max(1, chars / RANGE)))))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -204,7 +318,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             parts = list(zip(cuts, cuts[1:], strict=False))
             return _rows(
                 ["shard", "keys", "counts"], [int(h[i] >> _U(64 - bits)) for i, _ in parts],
-                [h[i:j].tobytes() for i, j in parts], [_squeeze(c[i:j].astype("<u4")) for i, j in parts],
+                [h[i:j].tobytes() for i, j in parts], [_squeeze(c[i:j].astype("<u8")) for i, j in parts],
             )
 
         for batch in small_batches(batches):
@@ -216,175 +330,281 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
     def merge_words(key, pdf: pd.DataFrame) -> pd.DataFrame:
         h, c = _grouped(
-            np.concatenate([np.frombuffer(x, "<u8") for x in pdf["keys"]]),
-            np.concatenate([_expand(x, "<u4") for x in pdf["counts"]]).astype(np.uint64),
+            np.concatenate([np.frombuffer(x, "<u8") for x in pdf["keys"]]), np.concatenate([_expand(x) for x in pdf["counts"]]).astype(np.int64)
         )
-        _save(uri, f"words-{key[0]}", h, c)
+        _save(uri, f"words-{key[0]}", hash=h, count=c)
         return pd.DataFrame({"shard": [key[0]], "types": [len(h)], "tokens": [int(c.sum())]})
 
     blocks = texts.mapInArrow(count_words, "shard int, keys binary, counts binary")
-    found = written(blocks.groupBy("shard").applyInPandas(merge_words, "shard int, types long, tokens long"), "words").collect()
-    types = np.zeros(1 << bits, np.int64)
-    for r in found:
+    ranges = written(blocks.groupBy("shard").applyInPandas(merge_words, "shard int, types long, tokens long"), "words")
+    types, tokens = np.zeros(1 << bits, np.int64), 0
+    for r in ranges.collect():  # one row for each RANGE characters
         types[r["shard"]] = r["types"]
+        tokens += r["tokens"]
     first_id = np.append(0, np.cumsum(types))
-    tokens, V = sum(r["tokens"] for r in found), int(first_id[-1])
-    if V + 1 >= 1 << 32:
-        raise ValueError("more than 2^32 word types: ids no longer fit")
+    V = int(first_id[-1])
+    start, none = V, V + 1
+    idt = "<u4" if V + 2 < 1 << 32 else "<u8"
     shards = max(LEAST_SHARDS, -(-tokens // SHARD))
-    floor = max(64, tokens // (4 * shards))  # at most 4 * shards words can be above it
+    floor = max(64, tokens // shards)  # fewer than ``shards`` words can be above it
 
     def hot_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for s in pdf["shard"]:
-            out.append(first_id[s] + np.flatnonzero(Arrays.of(uri).get(f"words-{s}", VOCABULARY)["count"] > floor))
+        out = [first_id[s] + np.flatnonzero(Arrays.of(uri).get(f"words-{s}")["count"] > floor) for s in pdf["shard"]]
         return pd.DataFrame({"id": np.concatenate(out) if out else np.zeros(0, np.int64)})
 
-    ranges = spark.range(1 << bits).select(F.col("id").cast("int").alias("shard")).where(F.col("shard").isin([r["shard"] for r in found]))
-    hot = ranges.mapInPandas(lambda it: map(hot_words, it), "id long").collect()
-    hot = np.array(sorted([r[0] for r in hot] + [V]), np.int64)  # V stands for the start
+    found = ranges.select("shard").mapInPandas(lambda it: map(hot_words, it), "id long").collect()
+    hot = np.array(sorted(r[0] for r in found) + [start], np.int64)
+    discard(ranges)
 
-    def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def block():
-            keys, c = np.unique(np.concatenate(held), return_counts=True)
+        def blocks():
+            every = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            context, word = keys >> _U(32), keys & _U(0xFFFFFFFF)
-            shard = bigram_shard(context.astype(np.int64), word, hot, shards)
-            order = np.argsort(shard, kind="stable")
-            shard, context, word, c = shard[order], context[order].astype(np.int64), word[order].astype("<u4"), c[order].astype("<u4")
-            cuts = _cuts(shard)
-            parts = list(zip(cuts, cuts[1:], strict=False))
-            return _rows(
-                ["shard", "contexts", "words", "counts"], [int(shard[i]) for i, _ in parts],
-                [_squeeze(np.diff(context[i:j], prepend=0).astype("<u4")) for i, j in parts],
-                [_squeeze(word[i:j]) for i, j in parts], [_squeeze(c[i:j]) for i, j in parts],
-            )
+            for low in range(0, len(every[0]), RUN):  # one text may be longer than a run
+                u, v, w, c = _counted(*(x[low : low + RUN] for x in every))
+                shard = trigram_shard(u, v, w, hot, shards)
+                order = np.argsort(shard, kind="stable")
+                shard, u, v, w, c = (x[order] for x in (shard, u, v, w, c))
+                cuts = _cuts(shard)
+                parts = list(zip(cuts, cuts[1:], strict=False))
+                yield _rows(
+                    ["shard", "v", "u", "w", "counts"], [int(shard[i]) for i, _ in parts],
+                    [_squeeze(np.diff(v[i:j], prepend=0).astype("<u8")) for i, j in parts],
+                    *([_squeeze(x[i:j].astype("<u8")) for i, j in parts] for x in (u, w, c)),
+                )
 
         for batch in small_batches(batches):
             h, at = _sequences(batch.column(0))
             distinct, back = np.unique(h, return_inverse=True)
-            ids = word_ids(uri, bits, first_id, distinct)[0][back]
-            context = np.append(V, ids[:-1])
-            context[at[:-1]] = V
-            held.append((context.astype(np.uint64) << _U(32)) | ids.astype(np.uint64))
-            if sum(map(len, held)) >= RUN:
-                yield block()
+            w = word_ids(uri, bits, first_id, distinct)[0][back]
+            v = np.append(start, w[:-1])
+            v[at[:-1]] = start
+            u = np.append(none, v[:-1])
+            u[at[:-1]] = none
+            held.append((u, v, w))
+            if sum(len(x[0]) for x in held) >= RUN:
+                yield from blocks()
         if held:
-            yield block()
+            yield from blocks()
 
-    def merge_bigrams(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        contexts = np.concatenate([np.cumsum(_expand(x, "<u4").astype(np.uint64)) for x in pdf["contexts"]])
-        words = np.concatenate([_expand(x, "<u4") for x in pdf["words"]]).astype(np.uint64)
-        keys, c = _grouped((contexts << _U(32)) | words, np.concatenate([_expand(x, "<u4") for x in pdf["counts"]]).astype(np.int64))
-        del contexts, words
-        _save(uri, f"bigrams-{key[0]}", keys, np.minimum(c, 2**32 - 1).astype("<u4"))
-        rows = [(-1, 0, b"", b"", b"", b"", b"", *(int((c == k).sum()) for k in (1, 2, 3, 4)))]
-        context = (keys >> _U(32)).astype(np.int64)
-        head = np.flatnonzero(np.diff(context, prepend=-1))
-        sums = [np.add.reduceat(x, head) for x in (c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c >= 3).astype(np.int64))]
-        word, follows = np.unique((keys & _U(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        for kind, ids, fields in ((0, context[head], sums), (1, word, [follows])):
-            shard = np.searchsorted(first_id, ids, side="right") - 1  # the start (id V) falls after the last range
-            shard = np.where(ids == V, 1 << bits, shard)
+    def lexicon_rows(contexts, sums, words, follows) -> list[tuple]:
+        rows = []
+        for kind, ids, fields in ((_CONTEXTS, contexts, sums), (_FOLLOWED, words, [follows])):
+            shard = np.where(ids == start, 1 << bits, np.searchsorted(first_id, ids, side="right") - 1)
             cuts = _cuts(shard)
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                cells = [_squeeze(ids[i:j].astype("<u4"))] + [_squeeze(f[i:j].astype("<u8")) for f in fields] + [b""] * (4 - len(fields))
-                rows.append((int(shard[i]), kind, *cells, 0, 0, 0, 0))
-        return pd.DataFrame(rows, columns=["shard", "kind", "ids", "f0", "f1", "f2", "f3", "c1", "c2", "c3", "c4"])
+            rows += [_row(kind, int(shard[i]), [ids[i:j], *(f[i:j] for f in fields)]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return rows
+
+    def bigram_rows(order: np.ndarray, v, w, a) -> list[tuple]:
+        """What finished bigrams, ascending by (v, w), leave for the lexicon."""
+        contexts, sums = _sums(v, a)
+        words, follows = np.unique(w, return_counts=True)
+        counts = tuple(int((a == k).sum()) for k in (1, 2, 3, 4))
+        return [_row(order, -1, counts=counts), *lexicon_rows(contexts, sums, words, follows)]
+
+    def merge_trigrams(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.concatenate([np.cumsum(_expand(x).astype(np.int64)) for x in pdf["v"]])
+        u, w, c = (np.concatenate([_expand(x).astype(np.int64) for x in pdf[f]]) for f in ("u", "w", "counts"))
+        u, v, w, c = _counted(u, v, w, c)
+        first = v == start  # the text's first words: bigrams with their counts
+        parts = [(v[first], w[first], c[first])]
+        u, v, w, c = u[~first], v[~first], w[~first], c[~first]
+        rows = [_row(_ORDER3, -1, counts=tuple(int((c == k).sum()) for k in (1, 2, 3, 4)))]
+        # Adjusted counts: how many different u come before (v, w).
+        _, bv, bw, a = _counted(np.zeros(len(v), np.int64), v, w) if len(v) else (u, v, w, c)
+        split = _is_in(hot, bv)
+        parts.append((bv[split], bw[split], a[split]))
+        bv, bw, a = bv[~split], bw[~split], a[~split]
+        rows += bigram_rows(_ORDER2, bv, bw, a)
+        v_part, w_part, a_part = (np.concatenate(x) for x in zip(*parts, strict=True))
+        shard = bigram_shard(v_part, w_part, shards)
+        order = np.argsort(shard, kind="stable")
+        shard, v_part, w_part, a_part = (x[order] for x in (shard, v_part, w_part, a_part))
+        cuts = _cuts(shard)
+        rows += [_row(_BIGRAMS, int(shard[i]), [v_part[i:j], w_part[i:j], a_part[i:j]]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        new = np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])) if len(v) else np.zeros(0, bool)
+        head = np.flatnonzero(new)  # contexts
+        middle, at = np.unique(v[head], return_index=True)
+        size = np.diff(np.append(head, len(v)))
+        heavy = np.flatnonzero(size >= HEAVY)
+        context = np.cumsum(new) - 1
+        ids, sums = _sums(context[size[context] >= HEAVY], c[size[context] >= HEAVY]) if len(heavy) else (heavy, [heavy] * 4)
+        low = np.searchsorted(bv, middle)
+        wide = "<u4" if len(v) < 1 << 32 else "<u8"
+        _save(
+            uri, f"trigrams-{key[0]}", v=middle.astype(idt), contexts=np.append(at, len(head)).astype(wide),
+            u=u[head].astype(idt), words=np.append(head, len(v)).astype(wide), w=w.astype(idt), **_counts_of("c", c),
+            heavy=ids.astype(wide), heavy_total=sums[0].astype("<u8"), heavy_1=sums[1].astype(idt), heavy_2=sums[2].astype(idt),
+            bigrams=np.append(low, len(bv)).astype(wide), b=bw.astype(idt), **_counts_of("a", a),
+        )
+        return _stats_frame(rows)
+
+    blocks = texts.mapInArrow(count_trigrams, "shard int, v binary, u binary, w binary, counts binary")
+    stats = written(blocks.groupBy("shard").applyInPandas(merge_trigrams, _STATS), "trigrams")
+
+    def merge_bigrams(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        v, w, a = (np.concatenate([_expand(x).astype(np.int64) for x in pdf[f]]) for f in ("ids", "f0", "f1"))
+        _, v, w, a = _counted(np.zeros(len(v), np.int64), v, w, a)
+        middle, at = np.unique(v, return_index=True)
+        _save(uri, f"bigrams-{key[0]}", v=middle.astype(idt), bigrams=np.append(at, len(v)).astype("<u8"), b=w.astype(idt), **_counts_of("a", a))
+        return _stats_frame(bigram_rows(_ORDER2, v, w, a))
 
-    blocks = texts.mapInArrow(count_bigrams, "shard int, contexts binary, words binary, counts binary")
-    stats = "shard int, kind int, ids binary, f0 binary, f1 binary, f2 binary, f3 binary, c1 long, c2 long, c3 long, c4 long"
-    stats = written(blocks.groupBy("shard").applyInPandas(merge_bigrams, stats), "bigrams")
+    whole = written(stats.where(f"kind = {_BIGRAMS}").groupBy("shard").applyInPandas(merge_bigrams, _STATS), "bigrams")
+    stats = stats.where(f"kind <> {_BIGRAMS}").union(whole)
 
     def merge_lexicon(key, pdf: pd.DataFrame) -> pd.DataFrame:
         s = int(key[0])
-        base, size = (V, 1) if s == 1 << bits else (int(first_id[s]), int(types[s]))
-        total, n = np.zeros(size, np.int64), [np.zeros(size, np.int64) for _ in range(3)]
-        continuation = np.zeros(size, np.int64)
-        for kind, ids, *fields in pdf[["kind", "ids", "f0", "f1", "f2", "f3"]].itertuples(index=False):
-            at = _expand(ids, "<u4").astype(np.int64) - base
-            into = [total, *n] if kind == 0 else [continuation]
-            for array, field in zip(into, fields, strict=False):
-                array[at] += _expand(field, "<u8").astype(np.int64)
-        _save(uri, f"lexicon-{s}", total.astype("<u8"), continuation.astype("<u8"), *(x.astype("<u4") for x in n))
-        row = [int(continuation.sum()), *(int((continuation == k).sum()) for k in (1, 2, 3, 4)), int((continuation >= 3).sum())]
+        base, size = (start, 1) if s == 1 << bits else (int(first_id[s]), int(types[s]))
+        fields = [np.zeros(size, np.int64) for _ in range(4)]
+        followed = np.zeros(size, np.int64)
+        for kind, ids, *cells in pdf[["kind", "ids", "f0", "f1", "f2", "f3"]].itertuples(index=False):
+            at = _expand(ids).astype(np.int64) - base
+            for array, cell in zip(fields if kind == _CONTEXTS else [followed], cells, strict=False):
+                array[at] += _expand(cell).astype(np.int64)
+        _save(uri, f"lexicon-{s}", total=fields[0], followed=followed, **{f"n{k}": fields[k].astype(idt) for k in (1, 2, 3)})
+        row = [int(followed.sum()), *(int((followed == k).sum()) for k in (1, 2, 3, 4)), int((followed >= 3).sum())]
         return pd.DataFrame([row], columns=["sum", "c1", "c2", "c3", "c4", "c3p"])
 
-    low = written(
-        stats.where("shard >= 0").groupBy("shard").applyInPandas(merge_lexicon, "sum long, c1 long, c2 long, c3 long, c4 long, c3p long"), "lexicon"
-    )
+    parts = stats.where(F.col("kind").isin(_CONTEXTS, _FOLLOWED))
+    low = written(parts.groupBy("shard").applyInPandas(merge_lexicon, "sum long, c1 long, c2 long, c3 long, c4 long, c3p long"), "lexicon")
     sums = lambda df, *names: [int(x or 0) for x in df.agg(*(F.sum(c) for c in names)).first()]
-    high = _discounts(sums(stats.where("shard < 0"), "c1", "c2", "c3", "c4"))
+    of_order = lambda kind: _discounts(sums(stats.where(f"kind = {kind}"), "c1", "c2", "c3", "c4"))
     everything, c1, c2, c3, c4, c3p = sums(low, "sum", "c1", "c2", "c3", "c4", "c3p")
     d = _discounts([c1, c2, c3, c4])
     mass = (d[0] * c1 + d[1] * c2 + d[2] * c3p) / everything if everything else 1.0
-    return Model(uri, bits, first_id, tokens, shards, hot, high, d, mass, everything)
+    return Model(uri, bits, first_id, tokens, shards, hot, (d, of_order(_ORDER2), of_order(_ORDER3)), mass, everything)
 
 
 def _lexicon(m: Model, ids: np.ndarray) -> dict[str, np.ndarray]:
     """Fields of distinct ascending ids (all known, or V for the start)."""
-    out = {f: np.zeros(len(ids), np.int64) for f, _ in LEXICON}
-    shard = np.searchsorted(m.first_id, ids, side="right") - 1
-    shard = np.where(ids == m.types, 1 << m.bits, shard)
+    out = {f: np.zeros(len(ids), np.int64) for f in ("total", "followed", "n1", "n2", "n3")}
+    shard = np.where(ids == m.types, 1 << m.bits, np.searchsorted(m.first_id, ids, side="right") - 1)
     cuts = _cuts(shard)
     for i, j in zip(cuts, cuts[1:], strict=False):
         s = int(shard[i])
-        found = Arrays.of(m.uri).get(f"lexicon-{s}", LEXICON)
+        found = Arrays.of(m.uri).get(f"lexicon-{s}")
         at = ids[i:j] - (m.types if s == 1 << m.bits else m.first_id[s])
         for f in out:
             out[f][i:j] = found[f][at]
     return out
 
 
+def _by_file(file: np.ndarray):
+    """(file number, its rows) of every file that rows belong to."""
+    order = np.argsort(file, kind="stable")
+    cuts = _cuts(file[order])
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        yield int(file[order[i]]), order[i:j]
+
+
+def _bigram_counts(m: Model, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Adjusted counts of distinct (v, w), 0 where there is none."""
+    split = _is_in(m.hot, v)
+    file = np.where(split, m.shards + bigram_shard(v, w, m.shards), trigram_shard(v, v, w, m.hot[-1:], m.shards))
+    out = np.zeros(len(v), np.int64)
+    for f, rows in _by_file(file):
+        found = Arrays.of(m.uri).find(f"bigrams-{f - m.shards}" if f >= m.shards else f"trigrams-{f}")
+        if found is None or not len(found["v"]):
+            continue
+        at = np.minimum(np.searchsorted(found["v"], v[rows]), len(found["v"]) - 1)
+        hit = found["v"][at] == v[rows]
+        rows, at = rows[hit], at[hit]
+        place = _find(found["b"], found["bigrams"][at], found["bigrams"][at + 1], w[rows])
+        out[rows[place >= 0]] = _count_at(found, "a", place[place >= 0])
+    return out
+
+
+def _trigram_counts(m: Model, u: np.ndarray, v: np.ndarray, context: np.ndarray, w: np.ndarray):
+    """(count of each (context, w), total and counts of counts of each context (u, v)).
+
+    ``context`` indexes the distinct contexts, ascending.
+    """
+    c, total, n = np.zeros(len(w), np.int64), np.zeros(len(u), np.int64), np.zeros((3, len(u)), np.int64)
+    file = trigram_shard(u, v, v, m.hot, m.shards)
+    first = np.searchsorted(context, np.arange(len(u) + 1))
+    for f, rows in _by_file(file):
+        found = Arrays.of(m.uri).find(f"trigrams-{f}")
+        if found is None or not len(found["v"]):
+            continue
+        at = np.minimum(np.searchsorted(found["v"], v[rows]), len(found["v"]) - 1)
+        hit = found["v"][at] == v[rows]
+        rows, at = rows[hit], at[hit]
+        place = _find(found["u"], found["contexts"][at], found["contexts"][at + 1], u[rows])
+        rows, place = rows[place >= 0], place[place >= 0]
+        if not len(rows):
+            continue
+        low, high = found["words"][place].astype(np.int64), found["words"][place + 1].astype(np.int64)
+        size = high - low
+        many = size >= HEAVY
+        k = np.searchsorted(found["heavy"], place[many])
+        total[rows[many]] = found["heavy_total"][k]
+        n[0, rows[many]], n[1, rows[many]] = found["heavy_1"][k], found["heavy_2"][k]
+        few, length = np.flatnonzero(~many), size[~many]
+        if len(few):
+            head = np.cumsum(length) - length
+            each = _count_at(found, "c", np.repeat(low[few] - head, length) + np.arange(length.sum()))
+            total[rows[few]] = np.add.reduceat(each, head)
+            n[0, rows[few]], n[1, rows[few]] = np.add.reduceat(each == 1, head, dtype=np.int64), np.add.reduceat(each == 2, head, dtype=np.int64)
+        n[2, rows] = size - n[0, rows] - n[1, rows]
+        asked = first[rows + 1] - first[rows]
+        items = np.repeat(first[rows] - np.cumsum(asked) + asked, asked) + np.arange(asked.sum())
+        where = _find(found["w"], np.repeat(low, asked), np.repeat(high, asked), w[items])
+        c[items[where >= 0]] = _count_at(found, "c", where[where >= 0])
+    return c, total, n
+
+
 def score_batch(m: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(n_tokens, n_known, base_score, score) of each text."""
     h, at = _sequences(column)
-    distinct, back = np.unique(h, return_inverse=True)
+    distinct, w = np.unique(h, return_inverse=True)
     ids, counts = word_ids(m.uri, m.bits, m.first_id, distinct)
-    V = m.types
+    V, n = m.types, len(ids)
     base = np.log10((counts + 1) / (m.tokens + V + 1))
-    known = np.append(np.flatnonzero(ids >= 0), len(ids))  # and the start
-    slot = np.full(len(ids) + 1, -1)
-    slot[known] = np.arange(len(known))
+    # Words by their place among the batch's own; n is the start, n + 1 what is before it.
+    every = np.append(ids, [V, V + 1])
+    v = np.append(n, w[:-1])
+    v[at[:-1]] = n
+    u = np.append(n + 1, v[:-1])
+    u[at[:-1]] = n + 1
+    pairs, in_pairs = np.unique(v * (n + 2) + w, return_inverse=True)
+    pv, pw = pairs // (n + 2), pairs % (n + 2)
+    lower = np.full(n + 2, (m.mass if m.tokens else 1.0) / (V + 1))
+    p = lower[pw]
     if m.tokens:
-        order = np.argsort(np.append(ids, V)[known])
-        fields = _lexicon(m, np.append(ids, V)[known][order])
-        for f, x in fields.items():
-            fields[f] = np.empty_like(x)
-            fields[f][order] = x
-        total, cont = fields["total"], fields["continuation"]
-        gamma = (m.high[0] * fields["n1"] + m.high[1] * fields["n2"] + m.high[2] * fields["n3"]) / np.maximum(total, 1)
-        lower = np.full(len(ids) + 1, m.low_mass / (V + 1))
-        lower[known] += (cont - _discount(m.low, cont)) / max(1, m.continuations)
+        known = np.append(np.flatnonzero(ids >= 0), n)
+        known = known[np.argsort(every[known])]
+        lexicon = {f: np.zeros(n + 2, np.int64) for f in ("total", "followed", "n1", "n2", "n3")}
+        for f, x in _lexicon(m, every[known]).items():
+            lexicon[f][known] = x
+        d1, d2, d3 = m.discounts
+        a = lexicon["followed"]
+        lower += (a - _discount(d1, a)) / max(1, m.continuations)
+        p = lower[pw]
+        total = lexicon["total"][pv]
+        seen = np.flatnonzero(total > 0)
+        gamma = sum(d * lexicon[f][pv[seen]] for d, f in zip(d2, ("n1", "n2", "n3"), strict=True)) / total[seen]
+        p[seen] *= gamma
+        both = seen[ids[pw[seen]] >= 0]
+        a = _bigram_counts(m, every[pv[both]], every[pw[both]])
+        p[both] += (a - _discount(d2, a)) / total[both]
+        # Trigrams: distinct contexts (u, v), and in each its distinct words.
+        inner = np.flatnonzero((v != n) & (every[v] >= 0) & (every[u] >= 0))
+        contexts, in_contexts = np.unique(u[inner] * (n + 2) + v[inner], return_inverse=True)
+        items, in_items = np.unique(in_contexts * (n + 2) + w[inner], return_inverse=True)
+        q = p[in_pairs]
+        if len(inner):
+            context, word = items // (n + 2), every[items % (n + 2)]
+            c, total, kinds = _trigram_counts(m, every[contexts // (n + 2)], every[contexts % (n + 2)], context, word)
+            gamma = (np.array(d3) @ kinds) / np.maximum(total, 1)
+            share = (c - _discount(d3, c)) / np.maximum(total, 1)[context]
+            known = total[context] > 0
+            q[inner] = np.where(known[in_items], share[in_items] + gamma[context][in_items] * q[inner], q[inner])
     else:
-        total, gamma, lower = np.zeros(1), np.zeros(1), np.full(len(ids) + 1, 1.0 / (V + 1))
-    context = np.append(len(ids), back[:-1])
-    context[at[:-1]] = len(ids)
-    p = lower[back]
-    seen = slot[context] >= 0
-    seen[seen] = total[slot[context[seen]]] > 0
-    p[seen] *= gamma[slot[context[seen]]]
-    both = np.flatnonzero(seen & (ids[back] >= 0))
-    if len(both):
-        every = np.append(ids, V)
-        keys = (every[context[both]].astype(np.uint64) << _U(32)) | ids[back[both]].astype(np.uint64)
-        wanted, again = np.unique(keys, return_inverse=True)
-        c = np.zeros(len(wanted), np.int64)
-        shard = bigram_shard((wanted >> _U(32)).astype(np.int64), wanted & _U(0xFFFFFFFF), m.hot, m.shards)
-        order = np.argsort(shard, kind="stable")
-        cuts = _cuts(shard[order])
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            idx = order[i:j]
-            found = Arrays.of(m.uri).get(f"bigrams-{int(shard[idx[0]])}", BIGRAMS)
-            place = np.minimum(np.searchsorted(found["key"], wanted[idx]), len(found["key"]) - 1)
-            hit = found["key"][place] == wanted[idx]
-            c[idx[hit]] = found["count"][place[hit]]
-        c = c[again]
-        p[both] += (c - _discount(m.high, c)) / total[slot[context[both]]]
+        q = p[in_pairs]
     sums = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0)
-    return np.diff(at), sums((counts[back] > 0).astype(np.int64)), sums(base[back]), sums(np.log10(p))
+    return np.diff(at), sums((counts[w] > 0).astype(np.int64)), sums(base[w]), sums(np.log10(q))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
