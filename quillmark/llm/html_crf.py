@@ -9,7 +9,8 @@ Method
 3. A chain over the page's blocks with the labels {main, other} is trained by maximum
    likelihood (exact forward-backward gradients, L2) on labelled pages: ``labelled_pages``
    builds them from layouts whose parts are known, and at most ``SAMPLE`` pages of the
-   corpus that mark their article join them with the labels of that markup.
+   corpus of fewer than ``LONGEST`` characters that mark their article join them with the
+   labels of that markup.
 4. Every page is decoded by Viterbi on the workers; blocks labelled main are its text.
 
 Only the weights and the bounded sample pass through the driver.
@@ -33,20 +34,27 @@ from .textkernel import small_batches
 
 #: Pages of the corpus that may join the training pages, and made-up training pages.
 SAMPLE, LABELLED = 200, 300
+#: Corpus pages of so many characters are not drawn for training (all are extracted).
+LONGEST = 100_000
 EPOCHS, RATE, L2 = 120, 0.2, 1e-3
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+>?"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
-    re.S,
+_WS = r"[\t\n\f\r ]"
+# An attribute: a name, and maybe a value in quotes or up to white space or ">".
+_ATTRIBUTE = rf"[^\t\n\f\r />][^\t\n\f\r />=]*+(?:{_WS}*+={_WS}*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\t\n\f\r >\"'][^\t\n\f\r >]*+|(?=>)))?+"
+_MARKUP = re.compile(
+    r"<(?:(?P<comment>!--)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|(?P<bogus>[!?]|/(?![a-zA-Z]))|(?P<end>/?)(?P<name>[a-zA-Z][^\t\n\f\r />]*+))", re.S
 )
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_REST = re.compile(rf"(?P<attrs>(?:(?:{_WS}|/)*+{_ATTRIBUTE})*+)(?P<tail>(?:{_WS}|/)*+)>")
+_COMMENT_END = re.compile(r"(?<=!--)-?>|--!?>")
+_ATTR = re.compile(rf"([^\t\n\f\r />][^\t\n\f\r />=]*+)(?:{_WS}*+={_WS}*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\t\n\f\r >\"'][^\t\n\f\r >]*+)))?+")
 # Element kinds of HTML.
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("script style noscript template title svg math iframe object canvas audio video".split())
+_RAW = frozenset("script style noscript title iframe textarea noembed noframes".split())  # text up to their own end tag
+_DROPPED = frozenset("template svg math object canvas audio video".split())  # elements whose content is no text of the page
+_FOREIGN = frozenset("svg math".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
@@ -64,16 +72,25 @@ class Block:
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
-    """Blocks in page order; character references decoded, white space squeezed, none empty."""
+    """Blocks in page order; character references decoded, white space squeezed, none empty.
+
+    Tags are read as HTML reads them: a value in quotes may hold any sign, one without
+    quotes ends at white space or ">", a slash before ">" closes svg and math alone, and a
+    tag or comment that the page's end cuts off is markup still.
+    """
     page = page or ""
     stack: list[tuple[str, frozenset[str]]] = []
     parts: list[tuple[str, bool]] = []
     out: list[Block] = []
-    links = 0
+    links = hidden = 0
+
+    def say(text: str):
+        if text and not hidden:
+            parts.append((entities.unescape(text) if "&" in text else text, links > 0))
 
     def flush():
         if parts:
-            text = " ".join(entities.unescape("".join(p for p, _ in parts)).split())
+            text = " ".join("".join(p for p, _ in parts).split())
             if text:
                 marks = frozenset().union(*(m for _, m in stack))
                 inside = sum(len(p) for p, linked in parts if linked)
@@ -82,10 +99,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     def close(names, until=()):
         """Close the innermost open element of these names, if none of ``until`` is nearer."""
-        nonlocal links
+        nonlocal links, hidden
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
                 links -= sum(t == "a" for t, _ in stack[k:])
+                hidden -= sum(t in _DROPPED for t, _ in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in until:
@@ -93,23 +111,31 @@ def leaf_blocks(page: str | None) -> list[Block]:
 
     at = 0
     while True:
-        m = _TAG.search(page, at)
+        m = _MARKUP.search(page, at)
         if not m:
-            # A tag that the page's end cuts off is markup still.
             tail = page[at:]
-            cut = re.search(r"<[/a-zA-Z!?][^<>]*\Z", tail)
-            parts.append((tail[: cut.start()] if cut else tail, links > 0))
+            say(tail[:-1] if tail.endswith("<") else tail[:-2] if tail.endswith("</") else tail)
             flush()
             return out
-        if m.start() > at:
-            parts.append((page[at : m.start()], links > 0))
+        say(page[at : m.start()])
         at = m.end()
+        if m["comment"]:
+            stop = _COMMENT_END.search(page, at)
+            at = stop.end() if stop else len(page)
+            continue
         if m["cdata"] is not None:
-            parts.append((entities.escape(m["cdata"]), links > 0))
+            if not hidden:
+                parts.append((m["cdata"], links > 0))
             continue
-        name = (m["name"] or "").lower()
-        if not name:
+        if m["bogus"]:
+            at = page.find(">", at) + 1 or len(page)
             continue
+        name = m["name"].lower()
+        rest = _REST.match(page, at)
+        if not rest:
+            flush()
+            return out
+        at = rest.end()
         if m["end"]:
             if name not in _INLINE:
                 flush()
@@ -117,11 +143,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 continue
             close((name,))
             continue
-        if name in _DROPPED and not m["attrs"].endswith("/"):
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if name not in _INLINE:
-                flush()
+        if name in _RAW:
+            stop = re.compile(rf"</{name}(?=[\t\n\f\r />])[^>]*>?", re.I).search(page, at)
+            at = stop.end() if stop else len(page)
+            flush()
             continue
         if name not in _INLINE:
             flush()
@@ -130,10 +155,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
         elif name in _SELF_CLOSING:
             names, until = _SELF_CLOSING[name]
             close(tuple(names.split()), tuple(until.split()))
-        if name not in _VOID and not m["attrs"].endswith("/"):
-            words = _WORD.findall(" ".join(x or y or z for x, y, z in _ATTR.findall(m["attrs"])).lower())
-            stack.append((name, frozenset(words)))
+        if name not in _VOID and not (name in _FOREIGN and rest["tail"].endswith("/")):
+            words = " ".join(x or y or z or "" for key, x, y, z in _ATTR.findall(rest["attrs"]) if key.lower() in ("class", "id", "role")) if rest["attrs"] else ""
+            stack.append((name, frozenset(_WORD.findall(words.lower()))))
             links += name == "a"
+            hidden += name in _DROPPED
 
 
 def _bucket(n: float, steps: tuple[float, ...]) -> int:
@@ -346,12 +372,20 @@ def _by_markup(page: str) -> tuple[list[Block], list[int]]:
     return blocks, [label(b) for b in blocks]
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Chain:
-    """The chain fitted to made-up pages and to at most ``sample`` pages that mark an article."""
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, longest: int = LONGEST) -> Chain:
+    """The chain fitted to made-up pages and to at most ``sample`` pages that mark an article.
+
+    These have fewer than ``longest`` characters and the smallest hashes.  Hashes are cut
+    at a threshold that leaves about four times the sample, so what reaches the driver
+    does not grow with the pages or the tasks.
+    """
     made = [a for a in (_aligned(p, t) for p, t in labelled_pages()) if a]
-    marked = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).cast("string").alias("html"))
-    marked = marked.where(F.col("html").contains("<article") & (F.length("html") < 100_000)).select("html").orderBy(F.xxhash64("id", "html"))
-    return fit(made + [_by_markup(r[0]) for r in marked.limit(sample).collect()])
+    marked = pages.select(F.xxhash64(F.col(id_col).cast("string"), F.col(html_col).cast("string")).alias("h"), F.col(html_col).cast("string").alias("html"))
+    marked = marked.where(F.col("html").contains("<article") & (F.length("html") < longest))
+    share = min(1.0, 4 * sample / max(1, marked.count()))
+    few = marked.where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30)))
+    drawn = sorted({(r["h"], r["html"]) for r in few.orderBy("h").limit(sample).collect()})
+    return fit(made + [_by_markup(html) for _, html in drawn])
 
 
 def extract(pages: DataFrame, chain: Chain, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
