@@ -5,13 +5,17 @@ Method
 1. Text is normalised (each run of ``[\\x20\\x09-\\x0D]`` becomes one space; null is empty)
    and given a 64-bit fingerprint (XXH64) and a SHA-256 digest.
 2. Every partition builds counting quotient filters of its fingerprints, one for each
-   range of leading bits.  Quotient and remainder together are the whole fingerprint, so
-   a filter loses nothing, and filters of one range merge by walking their sorted
-   remainders and adding counts.  A group of n copies is one counter in each partition.
+   range of leading bits, each with as many quotients as it has fingerprints.  Quotient
+   and remainder together are the whole fingerprint, so a filter loses nothing, and
+   filters of one range merge by walking their sorted remainders and adding counts.  A
+   group of n copies is one counter in each partition.
 3. Fingerprints with a count above one route their documents to byte verification: the
    routed texts are grouped by their bytes (partial aggregation: a hot text leaves each
    task once), which gives the smallest id and the size of every group.
 4. All others stay without having met.
+
+Filters have bytes in proportion to their fingerprints, whatever the corpus, and a range
+holds about RANGE of them, so neither a task's nor a merge's memory grows with it.
 """
 
 from __future__ import annotations
@@ -24,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, free_name, table, written
+from .shared import SPACES, bounded, keep_rows, table, weighted_join, written
 
 #: Fingerprints that a task gathers before it emits filters, and those aimed at per range.
-FLUSH, RANGE = 1 << 20, 1 << 14
-MAX_RANGE_BITS = 14
+FLUSH, RANGE = 1 << 20, 1 << 17
+LEAST_RANGE_BITS = 5
 
 
 class CountingQuotientFilter:
@@ -44,8 +48,9 @@ class CountingQuotientFilter:
         self.prefix, self.skip, self.q = prefix, skip, q
 
     @classmethod
-    def build(cls, sorted_fp: np.ndarray, count: np.ndarray, prefix: int, skip: int, q: int) -> CountingQuotientFilter:
+    def build(cls, sorted_fp: np.ndarray, count: np.ndarray, prefix: int, skip: int) -> CountingQuotientFilter:
         """``sorted_fp``: distinct, ascending, all with the same leading ``skip`` bits."""
+        q = min(64 - skip, max(3, len(sorted_fp).bit_length()))
         r = 64 - skip - q
         quotient = ((sorted_fp >> np.uint64(r)) & np.uint64((1 << q) - 1)).astype(np.int64)
         occupied = np.zeros(1 << q, bool)
@@ -64,8 +69,8 @@ class CountingQuotientFilter:
 
     def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
         """Lossless union: both are walked in the order of quotient and remainder."""
-        if (self.prefix, self.skip, self.q) != (other.prefix, other.skip, other.q):
-            raise ValueError("filters of different ranges or quotient sizes don't merge")
+        if (self.prefix, self.skip) != (other.prefix, other.skip):
+            raise ValueError("filters of different ranges don't merge")
         (a, m), (b, n) = self.items(), other.items()
         at = np.searchsorted(a, b)
         same = np.zeros(len(b), bool)
@@ -73,7 +78,7 @@ class CountingQuotientFilter:
         same[inside] = a[at[inside]] == b[inside]
         count = m.copy()
         count[at[same]] += n[same]
-        return self.build(np.insert(a, at[~same], b[~same]), np.insert(count, at[~same], n[~same]), self.prefix, self.skip, self.q)
+        return self.build(np.insert(a, at[~same], b[~same]), np.insert(count, at[~same], n[~same]), self.prefix, self.skip)
 
     def dumps(self) -> bytes:
         head = np.array([self.prefix, self.skip, self.q, len(self.remainder)], "<i8").tobytes()
@@ -107,8 +112,7 @@ def repeated_fingerprints(fps: DataFrame) -> DataFrame:
     ``fps`` has one long column fp and is a written table.
     """
     total = fps.count()
-    skip = min(MAX_RANGE_BITS, max(5, int(np.ceil(np.log2(max(2, total / RANGE))))))
-    q = max(6, int(np.ceil(np.log2(max(2, total >> skip)))))
+    skip = max(LEAST_RANGE_BITS, int(np.ceil(np.log2(max(2, total / RANGE)))))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -119,7 +123,7 @@ def repeated_fingerprints(fps: DataFrame) -> DataFrame:
             prefix = (fp >> np.uint64(64 - skip)).astype(np.int64)
             cuts = np.append(np.flatnonzero(np.diff(prefix, prepend=-1)), len(fp))
             made = [
-                CountingQuotientFilter.build(fp[i:j], count[i:j], int(prefix[i]), skip, q)
+                CountingQuotientFilter.build(fp[i:j], count[i:j], int(prefix[i]), skip)
                 for i, j in zip(cuts, cuts[1:], strict=False)
             ]
             return pa.record_batch(
@@ -134,9 +138,13 @@ def repeated_fingerprints(fps: DataFrame) -> DataFrame:
             yield filters()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [CountingQuotientFilter.loads(x) for x in pdf["filter"]]
-        while len(found) > 1:  # in pairs, so that each item is moved log n times
-            found = [a.merge(b) for a, b in zip(found[::2], found[1::2], strict=False)] + found[len(found) // 2 * 2 :]
+        found: list[CountingQuotientFilter] = []
+        for raw in pdf["filter"]:  # like sizes merge, so that each item is moved log n times
+            found.append(CountingQuotientFilter.loads(raw))
+            while len(found) > 1 and len(found[-2].count) <= len(found[-1].count):
+                found.append(found.pop().merge(found.pop()))
+        while len(found) > 1:
+            found.append(found.pop().merge(found.pop()))
         fp, count = found[0].items()
         more = count > 1
         return pd.DataFrame({"fp": fp[more].view(np.int64), "n": count[more]})
@@ -144,6 +152,33 @@ def repeated_fingerprints(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(build, "shard int, filter binary").groupBy("shard").applyInPandas(merge, "fp long, n long")
 
 
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, sha, keep_id, group_size, kept) of every row; see ``duplicate_groups``."""
+    norm = normalised(F.col(text_col))
+    marks = docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
+    marks = marks.select("id", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), F.xxhash64("norm").alias("fp"))
+    marks = written(marks.withColumn("row", F.monotonically_increasing_id()), "marks")
+    total = marks.count()
+    again = written(repeated_fingerprints(marks), "again").select("fp")
+    routed = written(marks.join(again, "fp", "left_semi"), "routed")
+    # Routed texts meet by their bytes; only they are normalised again.
+    ids = written(routed.select(F.col("id").alias("routed_id")).distinct(), "ids")
+    raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = raw.join(bounded(ids), raw["id"].eqNullSafe(ids["routed_id"]), "left_semi").select("id", normalised(F.col("text")).alias("norm"))
+    verified = texts.groupBy("norm").agg(F.count("*").alias("group_size")).where("group_size > 1")
+    verified = verified.select(F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), "group_size")
+    # Of a group the row of the smallest id stays, of rows that repeat that id the first.
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("first")
+    heads = routed.groupBy("sha").agg(first).join(verified, "sha").select("sha", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size")
+    heads = written(heads, "verified")
+    out = weighted_join(marks.select("id", "sha", "row"), heads, "sha", "group_size", total, "left")
+    alone = F.col("group_size").isNull()
+    return out.select(
+        "id", "sha", F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
+    )
+
+
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_sha256, keep_id, group_size, kept), one row per row of ``docs``.
 
@@ -152,39 +187,13 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of rows that repeat both id and text exactly one is kept.  Other columns are ignored
     and may have any name.  An empty table gives no rows.
     """
-    norm = normalised(F.col(text_col))
-    marks = docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
-    marks = written(marks.select("id", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), F.xxhash64("norm").alias("fp")), "marks")
-    again = written(repeated_fingerprints(marks), "again").select("fp")
-    routed = marks.join(again, "fp", "left_semi").select(F.col("id").alias("rid"), F.col("sha").alias("rsha"), "fp").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
-    # Routed texts meet by their bytes; the digest rides along to lead back to the documents.
-    verified = (
-        texts.join(routed, texts["id"].eqNullSafe(routed["rid"]))
-        .where(F.sha2(F.col("norm").cast("binary"), 256) == F.col("rsha"))
-        .groupBy("fp", "rsha", "norm")
-        .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("rsha", "keep_id", "group_size")
-    )
-    verified = written(verified, "verified").withColumnRenamed("rsha", "sha")
-    out = marks.join(verified, "sha", "left")
-    size = F.coalesce("group_size", F.lit(1).cast("long"))
-    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
-    return out.select("id", F.col("sha").alias("text_sha256"), keep.alias("keep_id"), size.alias("group_size")).withColumn(
-        "kept", F.col("id").eqNullSafe(F.col("keep_id"))
-    )
+    return _judged(docs, id_col, text_col).withColumnRenamed("sha", "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` with one row for each distinct normalised text; all columns stay."""
-    groups = duplicate_groups(docs, id_col, text_col)
-    losers = groups.where(~F.col("kept")).select(F.col("id").alias("__lost_id"), F.col("text_sha256").alias("__lost_sha"))
-    sha = free_name(docs, "sha")
-    rows = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    rows = rows.join(
-        losers.distinct(), rows[id_col].eqNullSafe(F.col("__lost_id")) & (rows[sha] == F.col("__lost_sha")), "left_anti"
-    )
-    return rows.dropDuplicates([id_col, sha]).drop(sha)
+    judged = written(_judged(docs, id_col, text_col).select("id", F.col("sha").alias("mark"), "kept"), "judged")
+    return keep_rows(docs, id_col, judged, lambda df, name: df.withColumn(name, F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,19 +36,29 @@ def test_groups_match_brute_force(spark):
 def test_empty_table_null_ids_repeated_rows(spark):
     assert duplicate_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, "t", "", "", 0), (3, "t", "", "", 0), (3, "t", "", "", 0), (None, "u", "", "", 0)]
-    got = {(r["id"], r["keep_id"], r["group_size"]) for r in duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {(None, 3, 3), (3, 3, 3), (None, None, 1)}
+    found = duplicate_groups(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["id"], r["keep_id"], r["group_size"]) for r in found} == {(None, 3, 3), (3, 3, 3), (None, None, 1)}
+    assert sorted((r["id"] or 0, r["kept"]) for r in found) == [(0, False), (0, True), (3, False), (3, True)]
     assert exact_dedup(spark.createDataFrame(rows, SCHEMA)).count() == 2
 
 
+def test_repeated_ids_and_clashing_names(spark):
+    rows = [(7, "c", 1, 2), (7, "d", 1, 2), (8, "c ", 1, 2), (9, "c", 1, 2), (None, "e", 1, 2), (None, "f", 1, 2), (None, "e", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_of int, kept_mark int")
+    out = exact_dedup(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out.collect()) == [(0, "e"), (0, "f"), (7, "c"), (7, "d"), (8, "c ")]
+
+
 def test_filter_round_trip_and_lossless_merge():
     rng = np.random.default_rng(2)
-    for skip, q in ((0, 6), (5, 9), (14, 6)):
+    for skip in (0, 5, 14):
         x = rng.integers(0, 2**63, 3000, dtype=np.uint64) << np.uint64(1)
         x = (x >> np.uint64(skip)) | (np.uint64(3) << np.uint64(64 - skip) if skip else np.uint64(0))
         x = np.concatenate([x, x[:900], x[:5].repeat(300)])
         parts = np.array_split(x, 7)
-        made = [CountingQuotientFilter.build(*np.unique(p, return_counts=True), 3 if skip else 0, skip, q) for p in parts]
+        made = [CountingQuotientFilter.build(*np.unique(p, return_counts=True), 3 if skip else 0, skip) for p in parts]
+        assert sum(len(m.dumps()) for m in made) < 20 * len(x)
         whole = CountingQuotientFilter.loads(made[0].dumps())
         for m in made[1:]:
             whole = whole.merge(CountingQuotientFilter.loads(m.dumps()))
