@@ -16,9 +16,10 @@ Method
    rows, not n^2.
 5. Components of the forest's edges by distributed union-find.
 
-The trees only route; any tree gives the exact result.  They are grown on the driver from
-at most ``SAMPLE`` fingerprints and have at most ``LEAVES`` leaves, so what is shipped to
-the workers is bounded.
+The trees only route; any tree gives the exact result.  They are grown on the driver from a
+sample of one fingerprint in ``SPARSE``, ``SAMPLE`` at most, and have a leaf for each SHARD
+fingerprints as far as the sample can tell leaves apart.  A leaf that is larger still is
+split by further vantage points inside its task.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components, spanning
-from .shared import table, written
+from .shared import discard, keep_rows, table, weighted_join, written
 from .textkernel import buffers, normalised_words, small_batches, xxh64
 
 MAX_BITS = 3
 SHINGLE = 3
-#: Bounds of the routing trees.
-SAMPLE, LEAVES, SHARD = 65_536, 4_096, 512
+#: Fingerprints per leaf of the routing trees, and the share and bound of the sample they grow from.
+SHARD, SPARSE, SAMPLE = 512, 16, 1 << 20
 #: Below so many comparisons a shard is searched by blocks.
 BRUTE = 1 << 21
 HALVES = (0xFFFFFFFF00000000, 0x00000000FFFFFFFF)
@@ -196,10 +197,10 @@ def near_links(distinct_fp: DataFrame) -> DataFrame:
     ``distinct_fp`` has a column fp without repeats (a written table: it is read twice).
     """
     total = distinct_fp.count()
-    share = min(1.0, SAMPLE / max(1, total))
-    drawn = distinct_fp.sample(False, share, 11).limit(SAMPLE) if share < 1 else distinct_fp
+    share = min(1 / SPARSE, SAMPLE / max(1, total))
+    drawn = distinct_fp.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * SAMPLE)
     sample = np.array([r[0] for r in drawn.select("fp").collect()], dtype=np.int64).view(np.uint64)
-    leaves = min(LEAVES, -(-total // SHARD))
+    leaves = -(-total // SHARD)
     trees = [VantageTree(sample, mask, HALF_BITS, leaves) for mask in HALVES]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,6 +229,22 @@ def near_links(distinct_fp: DataFrame) -> DataFrame:
     )
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, fp, component_id, head): head is (id is null, id, fp) of the row that stays."""
+    fps = written(fingerprints(docs, id_col, text_col), "fp")
+    total = fps.count()
+    least = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("fp"))).alias("least")
+    reps = written(fps.groupBy("fp").agg(least, F.count("*").alias("n")), "reps")
+    roots = written(connected_components(near_links(reps.select("fp"))), "roots")
+    linked = roots.join(reps, roots["node"] == reps["fp"]).select("fp", "root", "least")
+    merged = linked.groupBy("root").agg(F.min("least").alias("head"), F.count("*").alias("m"))
+    linked = weighted_join(linked, merged, "root", "m", total).select("fp", "head")
+    label = reps.join(linked, "fp", "left").select("fp", F.coalesce("head", "least").alias("head"), "n")
+    label = written(label, "label")
+    discard(reps, roots)
+    return weighted_join(fps, label, "fp", "n", total).select("id", "fp", F.col("head.id").alias("component_id"), "head")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): component_id is the smallest id linked, directly or not.
 
@@ -236,25 +253,24 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null ids keep their row and are ignored for component_id unless all are null.
     Other columns, whatever their names, are not touched.  An empty table gives no rows.
     """
-    fps = written(fingerprints(docs, id_col, text_col), "fp")
-    reps = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "reps")
-    roots = connected_components(near_links(reps.select("fp")))
-    linked = roots.join(reps, roots["node"] == reps["fp"]).select("fp", "root", "least")
-    merged = linked.groupBy("root").agg(F.min("least").alias("component"))
-    linked = linked.join(merged, "root").select("fp", "component")
-    label = reps.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return fps.join(label, "fp").select("id", "fp", "component_id")
+    return _labelled(docs, id_col, text_col).drop("head")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` with one document per component: that with the smallest id.
+    """Rows of ``docs`` with one document per component: that with the smallest id (nulls last).
 
-    All columns stay.  Rows that repeat the kept id are copies of it and stay one row.
+    All columns stay.  Ids may be null or stand for several texts: a row is known by id and
+    fingerprint, and of rows that repeat both one stays.
     """
-    kept = simhash_components(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("id").alias("__kept_id")).distinct()
-    rows = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    judged = _labelled(docs, id_col, text_col)
+    stays = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("fp") == F.col("head.fp"))
+    judged = written(judged.select("id", F.col("fp").alias("mark"), stays.alias("kept")), "judged")
+
+    @F.pandas_udf("long")
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        return pd.Series(simhash_batch(pa.array(texts, pa.string())).view(np.int64))
+
+    return keep_rows(docs, id_col, judged, lambda df, name: df.withColumn(name, fingerprint(F.col(text_col).cast("string"))))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

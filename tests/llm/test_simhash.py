@@ -59,6 +59,9 @@ def test_empty_null_ids_and_repeats(spark):
     got = simhash_components(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r["id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 4), (4, 4), (4, 4)]
     assert simhash_dedup(spark.createDataFrame(rows, SCHEMA)).count() == 2
+    apart = ["one two three four five", "six seven eight nine ten", "red green blue grey pink", "north south east west up"]
+    rows = [(None, apart[0], "", 1), (None, apart[1], "", 1), (7, apart[2], "", 1), (7, apart[3], "", 1), (7, apart[3], "", 1)]
+    assert sorted(r["text"] for r in simhash_dedup(spark.createDataFrame(rows, SCHEMA)).collect()) == sorted(apart)
 
 
 def test_forest_and_shards_lose_no_pair():
