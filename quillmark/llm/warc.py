@@ -5,21 +5,24 @@ Method
 * Every page gives a WARC record.  Its payload is identified by SHA-256 (with SHA-1 in
   base32 for ``WARC-Payload-Digest``).  Of equal payloads the record with the largest id
   is the response that stores the bytes; the others are revisits that refer to it.
-* The archive is a folder of gzipped WARC segments, written by Spark's own committer, so a
-  task that is lost or run twice leaves no torn file; beside it ``headers`` keeps each
-  record's exact header and the digest of its payload.
-* Reading parses the segments by Content-Length, recomputes both digests of each stored
+* The archive is a folder of WARC segments of bounded bytes, one gzip member a record, so
+  any record can be read alone.  A task writes each segment under a name of its own and
+  leaves the name in the table ``index``; a lost or repeated task's files are in no index.
+  Beside it ``headers`` keeps each record's exact header and the digest of its payload.
+* Reading decompresses a segment record by record, recomputes both digests of each stored
   payload and fails on a mismatch.  Original records come back by joining headers to
   payloads on the digest.
 
 Only ids and digests are grouped; payload bytes are shuffled once, on the record's own id,
-so a payload that a third of the pages share gathers in no task.
+so a payload that a third of the pages share gathers in no task.  Joins on the digest deal
+the rows of such a payload by broadcast or over as many copies as it needs.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import scratch, table, written
+from .shared import Folder, discard, scratch, table, weighted_join, written
 from .textkernel import small_batches
 
 #: Payloads below this many bytes are never made revisits.
@@ -35,7 +38,10 @@ LEAST_REVISIT = 0
 #: Date of all records of an archive, unless given.
 DATE = "2026-01-01T00:00:00Z"
 END = "\r\n\r\n"
-RECORDS_PER_FILE = 10_000
+#: Bytes of records, before compression, that a segment holds (or one larger record).
+SEGMENT = 64 << 20
+#: Records of one payload that a task of ``original_records`` joins.
+SHARE = 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -91,7 +97,7 @@ def _header(date: str) -> Column:
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE, least: int = LEAST_REVISIT) -> None:
-    """Write ``path/segments`` (gzipped WARC text) and ``path/headers`` (Parquet).
+    """Write ``path/segments`` (WARC), ``path/index`` and ``path/headers`` (Parquet).
 
     Null html is an empty payload; a null url an empty URI.  Of equal payloads of at least
     ``least`` bytes the largest id (nulls smallest) is the response; rows that repeat both
@@ -99,18 +105,19 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     are ignored.  An empty table gives an archive without records.
     """
     marks = payload_marks(pages, id_col, url_col, html_col)
-    heads = marks.groupBy("sha256").agg(F.max("id").alias("head"))
+    heads = marks.groupBy("sha256").agg(F.max("id").alias("head"), F.count("*").alias("n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     revisit = (F.col("payload_bytes") >= least) & ~F.col("id").eqNullSafe(F.col("head"))
     records = (
-        marks.join(heads, "sha256")
+        weighted_join(marks, heads, "sha256", "n", marks.count())
         .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
         .withColumn("refers_to", F.when(revisit, F.col("head")))
         .withColumn("http", http)
         .withColumn("header", _header(date))
-        .select("id", "sha256", "payload_bytes", "record_type", "header", "http")
+        .select("id", "sha256", "record_type", "header", "http", "n")
     )
-    records.select("id", "sha256", "record_type", "header", "http").write.parquet(f"{path}/headers")
+    records.write.parquet(f"{path}/headers")
+    discard(marks)
     records = pages.sparkSession.read.parquet(f"{path}/headers")
     # The payload joins its record by the record's own id; repeated rows fall together there.
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
@@ -124,35 +131,66 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         .select(F.concat("header", F.lit(END), "http", "body").alias("value"))
     )
     again = records.where("record_type = 'revisit'").select(F.concat("header", F.lit(END), "http").alias("value"))
-    (
-        stored.union(again).write.option("lineSep", END).option("compression", "gzip")
-        .option("maxRecordsPerFile", RECORDS_PER_FILE).text(f"{path}/segments")
-    )
+    stored.union(again).mapInArrow(_segments(f"{path}/segments"), "segment string, records long").write.parquet(f"{path}/index")
+
+
+def _segments(uri: str):
+    """Writer of one task's records (text, without their closing blank lines)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, members, size = Folder(uri), [], 0
 
+        def close() -> pa.RecordBatch:
+            name = f"{uuid.uuid4().hex}.warc.gz"
+            folder.write(name, members)
+            out = pa.record_batch([pa.array([name]), pa.array([len(members)], pa.int64())], names=["segment", "records"])
+            members.clear()
+            return out
 
-def parse(stream: bytes) -> Iterator[tuple[bytes, bytes]]:
-    """(header, block) of every record of gzipped WARC bytes (one or many gzip members)."""
-    raw, rest = bytearray(), stream
-    while rest:
-        gz = zlib.decompressobj(31)
-        raw += gz.decompress(rest)
-        raw += gz.flush()
-        if not gz.eof:
-            raise ValueError("truncated archive")
-        rest = gz.unused_data
-    view, at = bytes(raw), 0
-    del raw
+        for batch in batches:
+            for value in batch.column(0):
+                raw = value.as_py().encode() + END.encode()
+                if members and size + len(raw) > SEGMENT:
+                    yield close()
+                    size = 0
+                gz = zlib.compressobj(4, wbits=31)
+                members.append(gz.compress(raw) + gz.flush())
+                size += len(raw)
+        if members:
+            yield close()
+
+    return run
+
+
+def members(stream) -> Iterator[bytes]:
+    """What each gzip member of the bytes holds, one at a time."""
+    view, at = memoryview(stream), 0
     while at < len(view):
-        stop = view.index(b"\r\n\r\n", at)
-        header = view[at:stop]
-        if not header.startswith(b"WARC/"):
-            raise ValueError("no record where one should begin")
-        size = int(header.rpartition(b"\r\nContent-Length: ")[2])
-        block = view[stop + 4 : stop + 4 + size]
-        if len(block) != size or view[stop + 4 + size : stop + 8 + size] != b"\r\n\r\n":
-            raise ValueError("a record's length is wrong")
-        yield header, block
-        at = stop + 8 + size
+        gz, out = zlib.decompressobj(31), []
+        while not gz.eof:
+            if at >= len(view):
+                raise ValueError("truncated archive")
+            block = view[at : at + (1 << 20)]
+            out.append(gz.decompress(block))
+            at += len(block) - len(gz.unused_data)
+        yield b"".join(out)
+
+
+def parse(stream) -> Iterator[tuple[bytes, bytes]]:
+    """(header, block) of every record of gzipped WARC bytes."""
+    for view in members(stream):
+        at = 0
+        while at < len(view):
+            stop = view.find(b"\r\n\r\n", at)
+            if stop < 0 or view[at : at + 5] != b"WARC/":
+                raise ValueError("no record where one should begin")
+            header = view[at:stop]
+            size = int(header.rpartition(b"\r\nContent-Length: ")[2])
+            block = view[stop + 4 : stop + 4 + size]
+            if len(block) != size or view[stop + 4 + size : stop + 8 + size] != b"\r\n\r\n":
+                raise ValueError("a record's length is wrong")
+            yield header, block
+            at = stop + 8 + size
 
 
 def _fields(header: bytes) -> dict[str, str]:
@@ -169,10 +207,11 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = Folder(f"{path}/segments")
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for header, block in parse(content.as_py()):
+            for name in batch.column(0).to_pylist():
+                rows, held = [], 0
+                for header, block in parse(folder.mapped(name)):
                     f = _fields(header)
                     body = block.partition(b"\r\n\r\n")[2]
                     size = None
@@ -183,14 +222,17 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
                         size = len(body)
                     row = (f.get("X-Page-ID"), f["WARC-Type"], f["X-Payload-SHA256"], f["WARC-Payload-Digest"].removeprefix("sha1:"), size, f.get("X-Refers-To-Page-ID"), header.decode())
                     rows.append((*row, body.decode() if size is not None else None) if payloads else row)
-                    if len(rows) >= 2000:
+                    held += len(block) if payloads else len(header)
+                    if held >= 4 << 20:
                         yield _batch(rows, payloads)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield _batch(rows, payloads)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/segments")
-    return files.select("content").mapInArrow(run, RECORD + ", payload string" * payloads)
+    index = spark.read.parquet(f"{path}/index").select("segment")
+    # One segment a task, where there are not too many.
+    index = index.repartition(max(1, min(index.count(), 100_000)), "segment")
+    return index.mapInArrow(run, RECORD + ", payload string" * payloads)
 
 
 def _batch(rows, payloads: bool) -> pa.RecordBatch:
@@ -200,10 +242,17 @@ def _batch(rows, payloads: bool) -> pa.RecordBatch:
 
 
 def original_records(spark: SparkSession, path: str) -> DataFrame:
-    """(id, record_type, header, payload) of every record: headers joined to stored payloads."""
+    """(id, record_type, header, payload) of every record: headers joined to stored payloads.
+
+    A payload of n records goes out in n / SHARE copies, and the records are dealt to them.
+    """
     content = read_archive(spark, path, payloads=True).where("record_type = 'response'").select("sha256", "payload")
-    headers = spark.read.parquet(f"{path}/headers").select("id", "record_type", "sha256", "header")
-    return headers.join(content, "sha256").drop("sha256")
+    content = content.groupBy("sha256").agg(F.first("payload").alias("payload"))
+    headers = spark.read.parquet(f"{path}/headers").withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int"))
+    sizes = headers.where("record_type = 'response'").select("sha256", "shares").distinct()
+    content = content.join(sizes, "sha256").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    headers = headers.withColumn("share", F.pmod(F.xxhash64("header"), F.col("shares")).cast("int"))
+    return headers.select("id", "record_type", "header", "sha256", "share").join(content, ["sha256", "share"]).drop("sha256", "share")
 
 
 def archived_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -218,11 +267,14 @@ def archived_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     found = written(read_archive(spark, path).drop("header"), "records")
     content = found.where("record_type = 'response'").select("sha256", F.col("payload_bytes").alias("size"), F.col("payload_digest").alias("digest"))
     content = content.groupBy("sha256").agg(F.max("size").alias("size"), F.max("digest").alias("digest"))
+    content = content.join(spark.read.parquet(f"{path}/headers").groupBy("sha256").agg(F.count("*").alias("n")), "sha256")
+    content = written(content, "content")
     # Headers say which records there were; the segments' records are what came back.
     headers = spark.read.parquet(f"{path}/headers").select(F.col("id").cast("string").alias("id"), "record_type", "sha256")
     refers = found.where("record_type = 'revisit'").select("id", "sha256", "refers_to").distinct()
     out = headers.join(refers, headers["id"].eqNullSafe(refers["id"]) & (headers["sha256"] == refers["sha256"]), "left")
-    out = out.select(headers["id"], "record_type", headers["sha256"], "refers_to").join(content, "sha256")
+    out = out.select(headers["id"], "record_type", headers["sha256"], "refers_to")
+    out = weighted_join(out, content, "sha256", "n", headers.count())
     return out.select(
         F.col("id").cast(kind).alias("id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         "record_type", F.col("refers_to").cast(kind).alias("refers_to"),
