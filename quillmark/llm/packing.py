@@ -6,12 +6,13 @@ Method
    Only (document, start, length, checksum) leave the tokenizing task, with the task's
    number and the piece's rank among its pieces of that length.
 2. The histogram has at most CONTEXT bins, whatever the corpus.  Lengths are placed
-   longest first: pieces of one length go to the open packing patterns with the least
-   room that still fits, whole pattern counts at a time; the rest open new patterns.
+   longest first: pieces of one length go to the shortest open packing pattern, that with
+   the most room, whole pattern counts at a time; what fits none opens new patterns.
 3. Patterns lead back to documents by rank: the i-th piece of a length (task offsets plus
    rank in the task) takes the i-th slot of that length over all patterns.
 
 What is broadcast is bounded by the number of bins: histogram, patterns and slot ranges.
+The ranks' offsets, one row a task and length, are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -86,39 +87,35 @@ def encoder(name: str = TOKENIZER) -> Encoder:
 def shortest_pack_first(histogram: dict[int, int], context: int = CONTEXT) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[(pattern, how often)]: pattern is ((length, copies), ...), lengths descending.
 
-    Longest lengths first; a length goes to the open patterns of least remaining room that
-    fits it, moving whole counts; what no open pattern takes opens new ones.
+    Longest lengths first; a length goes to the shortest open patterns (those with the most
+    room), one piece to each, moving whole counts; what no open pattern has room for opens
+    new ones.
     """
-    open_by_room: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}
+    packs: list[dict[tuple[tuple[int, int], ...], int]] = [{} for _ in range(context + 1)]  # by room left
     for length in sorted(histogram, reverse=True):
-        left = histogram[length]
-        room = length
-        while left and room <= context:
-            stack = open_by_room.get(room, [])
-            while stack and left:
-                pattern, times = stack.pop()
-                copies = min(room // length, max(1, left // times)) if left >= times else 1
-                used = min(times, left // copies)
-                if used < times:
-                    stack.append((pattern, times - used))
-                rest = room - copies * length
-                open_by_room.setdefault(rest, []).append((pattern + ((length, copies),), used))
-                left -= used * copies
-                if rest == room or used < times:
-                    break
-            if not open_by_room.get(room):
-                room += 1
-            elif left and room // length == 0:
-                room += 1
+        left, room = histogram[length], context
+        while left and room >= length:
+            if not packs[room]:
+                room -= 1
+                continue
+            pattern, times = packs[room].popitem()
+            used = min(times, left)
+            if used < times:
+                packs[room][pattern] = times - used
+            longer = (*pattern[:-1], (length, pattern[-1][1] + 1)) if pattern[-1][0] == length else (*pattern, (length, 1))
+            inside = packs[room - length]
+            inside[longer] = inside.get(longer, 0) + used
+            left -= used
         if left:
+            # A new pattern is the shortest open one until it is as full as the others, here: full.
             fit = context // length
             if left // fit:
-                open_by_room.setdefault(context - fit * length, []).append((((length, fit),), left // fit))
+                packs[context - fit * length][((length, fit),)] = left // fit
             if left % fit:
-                open_by_room.setdefault(context - (left % fit) * length, []).append((((length, left % fit),), 1))
+                packs[context - left % fit * length][((length, left % fit),)] = 1
     merged: dict[tuple, int] = {}
-    for stack in open_by_room.values():
-        for pattern, times in stack:
+    for inside in packs:
+        for pattern, times in inside.items():
             merged[pattern] = merged.get(pattern, 0) + times
     return sorted(merged.items(), reverse=True)
 
@@ -188,7 +185,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contex
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     ranges = slot_ranges(shortest_pack_first(histogram, context))
     names = "length long, low long, high long, copies long, first long, at long"
-    placed = cut.join(counts.drop("n"), ["task", "length"]).withColumn("i", F.col("rank") + F.col("before"))
+    placed = cut.join(counts.drop("n").hint("merge"), ["task", "length"]).withColumn("i", F.col("rank") + F.col("before"))
     slots = F.broadcast(spark.createDataFrame(ranges, names))
     placed = placed.join(slots, "length").where("i >= low AND i < high")
     return placed.select(
