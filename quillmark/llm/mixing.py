@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, free_name, table, written
+from .shared import SPACES, WORD, free_name, table, written
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -31,8 +31,9 @@ BLOCK, LEAST_BLOCKS = 1024, 1024
 BITS = 40
 CELLS = 4096
 CHUNK = 1024
-#: Sources up to this number are broadcast; beyond it the joins shuffle.
-BROADCAST_SOURCES = 50_000
+#: Sources up to this number are broadcast, if their names have that many characters in all
+#: at most; beyond it the joins shuffle.
+BROADCAST_SOURCES, BROADCAST_NAMES = 50_000, 10_000_000
 
 
 def _sources(sizes: DataFrame) -> DataFrame:
@@ -78,11 +79,21 @@ def _block_of(p: str):
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, size, source_size, target, taken), one row per row of ``docs``.
 
-    size counts the text's words (null: 0).  A null source is a source of its own, last
+    taken is the number of words that the mix takes of it; size counts the text's words (null: 0).  A null source is a source of its own, last
     in order.  Documents without words are never taken; a mix without words takes
     nothing.  Repeated rows hold neighbouring places of the stream and count each for
     itself.  Null ids are allowed.  An empty table gives no rows; other columns are ignored.
     """
+    return _mix(docs, id_col, text_col, source_col, False)
+
+
+def mix_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``mix`` with the column spans: (at, part, times) for each taken block of a document,
+    its first word's place, its words, and how often the block is taken."""
+    return _mix(docs, id_col, text_col, source_col, True)
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, with_spans: bool) -> DataFrame:
     spark = docs.sparkSession
     sizes = docs.select(
         F.col(id_col).alias("id"),
@@ -92,8 +103,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     sizes = written(sizes, "sizes")
     sources = written(_sources(sizes), "sources")
-    n_sources, n_slots = sources.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
-    small = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
+    n_sources, n_slots, n_names = sources.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0)), F.coalesce(F.sum(F.length("source")), F.lit(0))).first()
+    small = F.broadcast if n_sources <= BROADCAST_SOURCES and n_names <= BROADCAST_NAMES else (lambda df: df.hint("merge"))
 
     # Slots: van der Corput point -> source, by an equi-join on the point's leading bits.
     point = F.conv(F.reverse(F.lpad(F.bin("n"), BITS, "0")), 2, 10).cast("long")
@@ -141,28 +152,42 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(_block_of("p"), _block_of("l"))))
     )
     overlap = F.least(F.col("e"), _block_start(F.col("block") + 1)) - F.greatest(F.col("p"), _block_start(F.col("block")))
-    parts = parts.select("id", "source", "size", "source_size", "target", "sid", "range", "rn", "block", overlap.alias("part"))
-    return (
-        parts.join(times, ["sid", "block"], "left")
-        .groupBy("id", "source", "size", "source_size", "target", "sid", "range", "rn")
-        .agg(F.coalesce(F.sum(F.col("part") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
-        .drop("sid", "range", "rn")
-    )
+    at = F.greatest(F.col("p"), _block_start(F.col("block"))) - F.col("p")
+    parts = parts.select("id", "source", "size", "source_size", "target", "sid", "range", "rn", "block", overlap.alias("part"), at.alias("at"))
+    taken = F.coalesce(F.sum(F.col("part") * F.col("times")), F.lit(0)).cast("long").alias("taken")
+    found = parts.join(times, ["sid", "block"], "left").groupBy("id", "source", "size", "source_size", "target", "sid", "range", "rn")
+    if not with_spans:
+        return found.agg(taken).drop("sid", "range", "rn")
+    span = F.when(F.col("times") > 0, F.struct("at", "part", "times"))
+    return found.agg(taken, F.array_sort(F.collect_list(span)).alias("spans")).drop("sid", "range", "rn")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Rows of ``docs``, each repeated by its share of the mix; all columns stay.
-
-    A document of which the mix takes t times its words comes floor(t) times, and once
-    more with the chance of t's fraction (by a hash of its id), at most three times.
+    """Rows of ``docs`` as the mix takes them: the words of a document that lie in blocks
+    taken k times or more are its k-th row, so the rows of a document hold just the words
+    that ``mix`` counts as taken.
+
+    A document taken as a whole keeps its text as it is; of others the taken words stay
+    with the white space before them, in order.  All other columns stay.  Documents
+    without words give no row, nor do those that no taken block touches.  Of rows that
+    repeat id, source and size each comes by the spans of the first; null ids are allowed.
     """
-    plan = mix(docs, id_col, text_col, source_col).where("size > 0").groupBy("id").agg((F.sum("taken") / F.sum("size")).alias("__share"))
-    plan = plan.select(F.col("id").alias("__mix_id"), "__share").where("__share > 0")
-    chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.join(plan, docs[id_col].eqNullSafe(plan["__mix_id"]))
-    copies = F.least(F.floor(F.col("__share") + chance), F.lit(MOST_REPEATS)).cast("int")
-    rows = rows.withColumn("__copies", copies).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    of, from_, size, spans, nth = (free_name(docs, n) for n in ("mix_id", "mix_source", "mix_size", "mix_spans", "mix_nth"))
+    plan = mix_spans(docs, id_col, text_col, source_col).where("taken > 0").groupBy("id", "source", "size")
+    # The first of repeated rows, by what it takes; sizes tell texts apart.
+    plan = plan.agg(F.min("spans").alias(spans)).withColumnsRenamed({"id": of, "source": from_, "size": size})
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    counted = docs.withColumn(size + "_of", F.regexp_count(text, F.lit(WORD)).cast("long"))
+    rows = counted.join(
+        plan, docs[id_col].eqNullSafe(plan[of]) & docs[source_col].cast("string").eqNullSafe(plan[from_]) & (counted[size + "_of"] == plan[size])
+    )
+    rows = rows.withColumn(nth, F.explode(F.sequence(F.lit(1), F.array_max(F.transform(F.col(spans), lambda x: x["times"])).cast("int"))))
+    mine = F.filter(F.col(spans), lambda x: x["times"] >= F.col(nth))
+    whole = F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a + x["part"]) == F.col(size)
+    words = F.regexp_extract_all(text, F.lit(f"{SPACES}*{WORD}"), F.lit(0))
+    some = F.array_join(F.flatten(F.transform(mine, lambda x: F.slice(words, (x["at"] + 1).cast("int"), x["part"].cast("int")))), "")
+    new = F.when(whole, text).otherwise(F.ltrim(some))
+    return rows.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
