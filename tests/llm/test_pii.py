@@ -1,8 +1,11 @@
+import random
 import re
 
-from quillmark.llm.pii import _luhn_sum, replace_private, surrogates
+import regex
 from pyspark.sql import functions as F
 
+from quillmark.llm.pii import KINDS, PATTERN, _luhn_sum, replace_private, surrogates
+
 SCHEMA = "doc_id long, text string, entity string, found string"
 
 
@@ -10,9 +13,9 @@ def luhn(s):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
 
 
-def run(spark, texts, **kw):
+def run(spark, texts, key="a key"):
     df = spark.createDataFrame([(i, t, "e", "f") for i, t in enumerate(texts)], SCHEMA)
-    out = replace_private(df, **kw)
+    out = replace_private(df, key)
     assert out.columns == [*df.columns, "n_replaced"]
     return {r["doc_id"]: (r["text"], r["n_replaced"]) for r in out.collect()}
 
@@ -51,17 +54,98 @@ def test_formats_distinctness_coreference(spark):
 
 
 def test_collisions_are_drawn_again(spark):
-    # One-digit social-security numbers leave ten values: all must come out distinct.
-    rows = [("x", str(i)) for i in range(9)]
-    out = surrogates(spark.createDataFrame(rows[:3], "kind string, entity string")).collect()
-    assert len({r["surrogate"] for r in out}) == 3 and not {r["surrogate"] for r in out} & {"0", "1", "2"}
+    # One-digit social-security numbers leave ten values, all of them entities: surrogates grow.
+    rows = [("ssn", str(i)) for i in range(10)] + [("ip", f"1.2.3.{i}") for i in range(5)]
+    rows += [("name", f"n:{a}{b}") for a in "abcdefgh" for b in "abcdefgh"] + [("name", f"f:{a}x") for a in "abcdefghijklmnopqrstuvwxyz"]
+    out = surrogates(spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
+    assert len(out) == len({(r["kind"], r["surrogate"].lower()) for r in out}) == len(rows)
+    assert all(len(r["surrogate"]) >= 2 for r in out if r["kind"] == "ssn")
+
+
+def test_names_are_followed_through_a_text(spark):
+    texts = ["Mrs. Anna Schmidt came. Anna Schmidt left. Mrs. Schmidt slept; Schmidt's dog and Anna too. Schmidts stay, Joanna stays.", "Anna Schmidt is named here without a form of address."]
+    got = run(spark, texts)
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) came\. (\w+) (\w+) left\. Mrs\. (\w+) slept; (\w+)'s dog and (\w+) too\. Schmidts stay, Joanna stays\.", got[0][0])
+    given, family = m[1], m[2]
+    assert m.groups() == (given, family, given, family, family, family, given) and given != "Anna" and family != "Schmidt"
+    assert got[0][1] == 2 and got[1] == (texts[1], 0)
+
+
+def test_phones_keep_their_country_and_national_forms_are_found(spark):
+    texts = ["+358 40 123 4567", "+1 (743) 555-3824, (743) 555-3824 and 743-555-3824", "06 12 34 56 78", "0171/1234567", "12-34-56 and 0.5 and 2020-01-02"]
+    got = run(spark, texts)
+    assert re.fullmatch(r"\+358 \d\d \d{3} \d{4}", got[0][0]) and got[0][0] != texts[0]
+    a, b, c = re.fullmatch(r"\+1 (\(\d{3}\) \d{3}-\d{4}), (\(\d{3}\) \d{3}-\d{4}) and (\d{3}-\d{3}-\d{4})", got[1][0]).groups()
+    assert a == b and re.sub(r"\D", "", a) == re.sub(r"\D", "", c) != "7435553824"
+    assert re.fullmatch(r"0\d( \d\d){4}", got[2][0]) and got[2][0] != texts[2] and re.fullmatch(r"0\d{3}/\d{7}", got[3][0]) and got[3][0] != texts[3]
+    assert got[4] == (texts[4], 0)
+
+
+def iban_ok(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def test_matches_brute_force(spark):
+    """Detection by another regex engine, checks by other code, and what holds for the mapping."""
+    rng = random.Random(12)
+    people = ["Anna Schmidt", "Karl Weiss", "Vera Lang", "Weiss"]
+    make = [
+        lambda: f"{rng.choice('abc')}.{rng.randint(1, 40)}@mail{rng.randint(1, 3)}.example.{rng.choice(['com', 'org'])}",
+        lambda: f"+1 (743) 555-{rng.randint(1000, 1030)}", lambda: f"{rng.randint(1, 255)}.{rng.randint(0, 300)}.7.{rng.randint(1, 9)}",
+        lambda: str(rng.randint(4 * 10**15, 4 * 10**15 + 300)), lambda: f"{rng.randint(100, 104)}-{rng.randint(10, 12)}-{rng.randint(1000, 1005)}",
+        lambda: f"DE{rng.randint(10, 99)} 3704 0044 0532 0130 {rng.randint(10, 12)}", lambda: "%040x" % rng.randint(16**39, 16**39 + 9),
+        lambda: f"{rng.choice(['Mr.', 'Mrs.', 'Frau', 'Herr'])} {rng.choice(people)}", lambda: rng.choice(["word", "12", "a-b", "(x)", "3.14", "Über", "+", "1234-5678"]),
+    ]
+    texts = [rng.choice([" ", ", ", "; "]).join(rng.choice(make)() for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    got = run(spark, texts)
+    whole = regex.compile(PATTERN)
+    kind_of = lambda x: next(k for k, p in KINDS if regex.fullmatch(p, x))
+    alnum = lambda x: "".join(c for c in x.lower() if c.isalnum())
+    mapping, real = {}, set()
+    for i, text in enumerate(texts):
+        spans = [(m.span(), m.group(), kind_of(m.group())) for m in whole.finditer(text)]
+        spans = [s for s in spans if not (s[2] == "card" and not luhn(alnum(s[1])) or s[2] == "iban" and not iban_ok(s[1]))]
+        assert got[i][1] == len(spans), (text, spans)
+        out, at, rest = got[i][0], 0, 0
+        for (low, high), old, kind in spans:
+            gap = text[rest:low]
+            assert out.startswith(gap, at), (text, out)
+            at += len(gap)
+            if kind == "name":
+                shape = r"\p{L}+\.? " + " ".join([r"\p{Lu}[\p{Ll}'-]+"] * (len(old.split()) - 1))
+                new = regex.compile(shape).match(out, at).group()
+            elif kind == "ip":
+                new = regex.compile(r"[\d.]*\d").match(out, at).group()
+            else:
+                new = out[at : at + len(old)]
+            at += len(new)
+            rest = high
+            assert new != old and kind_of(new) == kind, (old, new)
+            assert kind != "card" or luhn(alnum(new)) and new[0] == old[0]
+            assert kind != "iban" or iban_ok(new) and new[:2] == old[:2]
+            parts = [(kind, alnum(old), alnum(new))]
+            if kind == "name":
+                title, *names = old.split()
+                title2, *names2 = new.split()
+                assert title == title2 and len(names) == len(names2)
+                female = title in ("Mrs.", "Frau")
+                parts = [("family", names[-1], names2[-1])] + [(f"given{female}", names[0], names2[0])] * (len(names) == 2)
+            for k, a, b in parts:
+                assert mapping.setdefault((k, a), b) == b
+                real.add((k, a))
+        assert out[at:] == text[rest:]
+    for k in {k for k, _ in real}:
+        new = [b for (kind, _), b in mapping.items() if kind == k]
+        assert len(new) == len(set(new)) and not set(new) & {a for kind, a in real if kind == k}
+    assert len(real) > 100 and {k for k, _ in real} >= {"email", "phone", "ip", "card", "ssn", "secret", "family"}
 
 
 def test_repeats_nulls_empty(spark):
     df = spark.createDataFrame([(1, "a 25.86.162.211", "", ""), (1, "a 25.86.162.211", "", ""), (None, "b 25.86.162.211", "", ""), (1, "c", "", "")], SCHEMA)
-    got = [r["text"] for r in replace_private(df).collect()]
+    got = [r["text"] for r in replace_private(df, "k").collect()]
     assert len(got) == 4 and len({t[2:] for t in got if len(t) > 1}) == 1 and not any("25.86" in t for t in got)
-    assert replace_private(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert replace_private(spark.createDataFrame([], SCHEMA), "k").count() == 0
     assert spark.range(1).select(_luhn_sum(F.lit("4041894974608795"), False)).first()[0] % 10 == 0
 
 
