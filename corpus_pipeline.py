@@ -3,11 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``documents``.  ``run`` writes each stage's rows to the shared folder and
 rereads them, so a stage never recomputes its predecessors.
+
+Every stage takes null texts as empty, keeps null and repeated ids apart by their texts,
+leaves extra columns as they are, reads texts of any length, and gives no rows for an
+empty table.  Empty and null texts fall to the quality rules, as they have too few words;
+rows that repeat id and text are one row after the exact dedup.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmark.llm.exact_dedup import exact_dedup
 from quillmark.llm.mixing import mixed_documents
@@ -33,8 +39,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources come near their target weights."""
-    return mixed_documents(docs)
+    """Documents as the schedule takes them, whole, in part or again, so that sources meet
+    their target weights; n_chars follows the text."""
+    mixed = mixed_documents(docs)
+    if "n_chars" not in mixed.columns:
+        return mixed
+    kind = mixed.schema["n_chars"].dataType
+    return mixed.withColumn("n_chars", F.length(F.col("text").cast("string")).cast(kind))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
