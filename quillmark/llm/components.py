@@ -1,26 +1,5 @@
-"""Spanning labels inside one task; components over tables come from ``operators.graph``."""
+"""Components over tables and spanning labels inside a task, from the core."""
 
-from __future__ import annotations
-
-import numpy as np
-
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, spanning
 
 __all__ = ["connected_components", "spanning"]
-
-
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest reachable index of each of 0..n-1 under the links (i, j)."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        while True:
-            up = label[label]
-            if np.array_equal(up, label):
-                break
-            label = up
-        left = label[i] != label[j]
-        i, j = i[left], j[left]
-    return label

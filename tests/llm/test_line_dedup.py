@@ -36,7 +36,7 @@ def corpus():
     base = [" ".join(word() for _ in range(rng.randint(8, 40))) for _ in range(60)]
     rows = [(0, None, "x", 1), (1, "", "x", 1), (2, "\n \n\t", "x", 1), (3, "a\nA\n a ", "x", 1), (4, "z" * 60000, "x", 1)]
     hot = base[0].split()
-    for i in range(5, 120):
+    for i in range(5, 80):
         lines = []
         for _ in range(rng.randint(1, 6)):
             s = rng.choice(base[1:]).split()
