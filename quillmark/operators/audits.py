@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.scratch import bounded, written
 from ..sources.tables import table
 
 SEED = 1337
@@ -42,14 +43,17 @@ def length_bands(spark, sf_dir):
 
 
 def concentration(df: DataFrame, key: str, weight: str) -> DataFrame:
-    """One row: distinct keys, largest/top-10/top-20 shares by rows and by weight, both Herfindahl sums."""
+    """One row: distinct keys, largest/top-10/top-20 shares by rows and by weight, both Herfindahl sums.
+
+    No rows at all count as fully concentrated: shares of 1 over 0 keys.
+    """
     g = df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit("unknown")).alias("k")).agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
     # The ranking is over keys, not rows; only its first twenty are needed.
     tot = g.agg(F.count("*").alias("keys"), F.sum("n").alias("n_all"), F.sum("w").alias("w_all"),
                 F.sum(F.col("n").cast("double") * F.col("n")).alias("n2"), F.sum(F.col("w").cast("double") * F.col("w")).alias("w2"))
     top = lambda c: g.select(c, "k").orderBy(F.desc(c), "k").limit(20).agg(F.collect_list(c).alias(f"top_{c}"))
     out = tot.crossJoin(top("n")).crossJoin(top("w"))
-    first = lambda c, m: F.round(F.aggregate(F.slice(f"top_{c}", 1, m), F.lit(0.0), lambda a, x: a + x) / F.col(f"{c}_all"), 9)
+    first = lambda c, m: F.when(F.col("keys") == 0, 1.0).otherwise(F.round(F.aggregate(F.slice(f"top_{c}", 1, m), F.lit(0.0), lambda a, x: a + x) / F.col(f"{c}_all"), 9))
     return out.select(
         "keys", *(first(c, m).alias(f"top{m}_{name}_share") for c, name in (("n", "row"), ("w", "weight")) for m in (1, 10, 20)),
         F.round(F.col("n2") / F.col("n_all") / F.col("n_all"), 9).alias("row_hhi"), F.round(F.col("w2") / F.col("w_all") / F.col("w_all"), 9).alias("weight_hhi"),
@@ -123,10 +127,15 @@ def stratified_sample(spark, sf_dir):
 def diverse_selection(spark, sf_dir, budget: int = 50_000):
     """Round robin over sources, longest first, until the word budget is reached.
 
-    Only documents of the rounds that can matter are ranked globally: rounds are summed
-    first, and the running sum inside the last round decides.
+    A source's first documents fill the budget alone, so only those of its longest lengths
+    (found from counts a length) can come in: they are ranked, the rest are never sorted.
     """
-    d = _docs(spark, sf_dir).select("doc_id", "source", "n_words")
+    d = written(_docs(spark, sf_dir).select("doc_id", "source", "n_words"), "lengths")
+    lengths = d.groupBy("source", "n_words").agg(F.sum("n_words").alias("w"))
+    longer = Window.partitionBy("source").orderBy(F.desc("n_words"))
+    cut = lengths.withColumn("before", F.sum("w").over(longer) - F.col("w")).where((F.col("before") < budget) & (F.col("n_words") > 0))
+    cut = cut.groupBy(F.col("source").alias("of")).agg(F.min("n_words").alias("least"))
+    d = d.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("of"))).where("n_words >= least").select("doc_id", "source", "n_words")
     d = d.withColumn("turn", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_words"), "doc_id")))
     rounds = d.groupBy("turn").agg(F.sum("n_words").alias("w"))
     rounds = rounds.withColumn("before", F.sum("w").over(Window.orderBy("turn")) - F.col("w")).where(F.col("before") < budget).select("turn", "before")
@@ -150,7 +159,8 @@ def contamination(width: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """(doc_id, item_id, shared): distinct shingles that a document shares with a benchmark item."""
         ref = table(spark, sf_dir, "benchmark").select("item_id", X.words(F.col("text")).alias("w")).where(F.size("w") >= width)
-        ref = ref.select("item_id", F.explode(X.shingles(F.col("w"), width)).alias("s"))
+        # Items are few beside documents: their shingles are counted, and sent along if they may be.
+        ref = bounded(written(ref.select("item_id", F.explode(X.shingles(F.col("w"), width)).alias("s")), "shingles"))
         docs = table(spark, sf_dir, "documents").select("doc_id", X.words(F.col("text")).alias("w")).where(F.size("w") >= width)
         docs = docs.select("doc_id", F.explode(X.shingles(F.col("w"), width)).alias("s"))
         return docs.join(ref, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.resample import bootstrap_rates, draw, sql_draws, sql_intervals
+from ..plans.scratch import bounded, written
 from ..sources.tables import table
 
 Z = 1.959963984540054
-REPLICATES = 200
 
 
 def wilson(successes: Column, total: Column, z: float = Z) -> tuple[Column, Column]:
@@ -55,26 +56,19 @@ def classification_report(spark, sf_dir):
 
 
 def review_agreement_kappa(spark, sf_dir):
-    """Cohen's kappa of label and rule, per language."""
+    """Cohen's kappa of label and rule, per language; 1 where chance forces the agreement there is."""
     d = _labelled(spark, sf_dir).select("lang", F.col("quality").alias("a"), _predicted().alias("b"))
     g = d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("agree"), F.sum("a").alias("a1"), F.sum("b").alias("b1"))
     n = F.col("n").cast("double")
     po = F.col("agree") / n
     pe = (F.col("a1") * F.col("b1") + (n - F.col("a1")) * (n - F.col("b1"))) / (n * n)
-    return g.select("lang", "n", "agree", F.round(F.when(pe < 1, (po - pe) / (1 - pe)), 9).alias("kappa"))
+    return g.select("lang", "n", "agree", F.round(F.when(F.abs(pe - 1) < 1e-9, F.when(F.abs(po - 1) < 1e-9, 1.0)).otherwise((po - pe) / (1 - pe)), 9).alias("kappa"))
 
 
 def bootstrap_interval(spark, sf_dir):
-    """Percentile bootstrap of the quality rate by language; Poisson weights from a hash.
-
-    Every replicate weighs each row by a Poisson(1) draw of md5(row, replicate), so one
-    pass with partial aggregation serves all replicates and reruns agree.
-    """
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("r").cast("string")).cast("binary"), ), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    weight = F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).when(u < 0.9963401531726563, 4).otherwise(5)
-    d = _labelled(spark, sf_dir).select("doc_id", "lang", "quality", F.explode(F.sequence(F.lit(1), F.lit(REPLICATES))).alias("r"))
-    rates = d.withColumn("w", weight).groupBy("lang", "r").agg((F.sum(F.col("w") * F.col("quality")) / F.when(F.sum("w") > 0, F.sum("w"))).alias("rate"))
-    return rates.groupBy("lang").agg(F.round(F.percentile("rate", 0.025), 9).alias("low"), F.round(F.percentile("rate", 0.975), 9).alias("high"), F.count("rate").alias("replicates"))
+    """Percentile bootstrap of the quality rate by language, 10,000 replicates over the counts."""
+    c = _labelled(spark, sf_dir).groupBy("lang").agg(F.count("quality").alias("n"), F.sum("quality").alias("s")).where("n > 0")
+    return bootstrap_rates(c, ["lang"])
 
 
 def paired_difference(spark, sf_dir):
@@ -101,11 +95,13 @@ def event_transitions(spark, sf_dir):
 def candidate_taxonomy(spark, sf_dir):
     """How often an event repeats the current, the previous, the first, an older or no earlier type of its user."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    past = F.collect_list("event_type").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    e = table(spark, sf_dir, "events").select("event_type", F.lag("event_type", 1).over(w).alias("p1"), F.lag("event_type", 2).over(w).alias("p2"),
-                                              F.first("event_type").over(w).alias("p0"), F.array_distinct(past).alias("past"))
+    same = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select(
+        "event_type", F.lag("event_type", 1).over(w).alias("p1"), F.lag("event_type", 2).over(w).alias("p2"), F.first("event_type").over(w).alias("p0"),
+        F.row_number().over(w).alias("k"), F.row_number().over(same).alias("seen"),
+    )
     t = F.col("event_type")
-    kind = F.when(t == F.col("p1"), "CURRENT").when(t == F.col("p2"), "PREVIOUS").when(F.size("past") == 0, "NEVER_VALID").when(t == F.col("p0"), "INITIAL").when(F.array_contains("past", t), "OLDER").otherwise("NEVER_VALID")
+    kind = F.when(t == F.col("p1"), "CURRENT").when(t == F.col("p2"), "PREVIOUS").when(F.col("k") == 1, "NEVER_VALID").when(t == F.col("p0"), "INITIAL").when(F.col("seen") > 1, "OLDER").otherwise("NEVER_VALID")
     return e.groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -142,7 +138,64 @@ def grid_coverage(spark, sf_dir):
     return r.crossJoin(F.broadcast(segments)).join(have, ["r_regionkey", "c_mktsegment"], "left").select("r_name", "c_mktsegment", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def summary_metrics(counts: DataFrame) -> DataFrame:
+    """accuracy, balanced accuracy, macro F1 and the majority's share from (class, tp, predicted, support)."""
+    ratio = lambda a, b: F.coalesce(a / F.when(b > 0, b), F.lit(0.0))
+    tp, predicted, support = F.col("tp"), F.col("predicted"), F.col("support")
+    return counts.agg(
+        F.sum("support").alias("n"), F.round(F.sum("tp") / F.sum("support"), 9).alias("accuracy"), F.round(F.avg(F.when(support > 0, tp / support)), 9).alias("balanced_accuracy"),
+        F.round(F.avg(ratio(2 * tp, predicted + support)), 9).alias("macro_f1"), F.round(F.max("support") / F.sum("support"), 9).alias("majority"),
+    )
+
+
+def classification_summary(spark, sf_dir):
+    return summary_metrics(classification_report(spark, sf_dir))
+
+
+def centroid_probe(spark, sf_dir):
+    """Nearest-centroid probe of the embeddings' labels: centroids of the even vectors, tested on the odd ones.
+
+    Centroids are as many as there are labels, checked before they are broadcast.
+    """
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("k", "x")).withColumn("x", F.col("x").cast("double"))
+    c = e.where("vec_id % 2 = 0").groupBy("label", "k").agg(F.avg("x").alias("m"))
+    c = c.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("centre"))
+    c = bounded(written(c.withColumnRenamed("label", "guess"), "centroids"))
+    far = F.aggregate(F.zip_with("embedding", "centre", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, b: a + b)
+    t = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 1").crossJoin(c).groupBy("vec_id", "label").agg(F.min_by("guess", F.struct(F.round(far, 6).alias("d"), F.col("guess"))).alias("guess"))
+    classes = t.select(F.explode(F.array("label", "guess")).alias("class")).distinct()
+    hits = t.groupBy(F.col("label").alias("class")).agg(F.count("*").alias("support"), F.count_if(F.col("label") == F.col("guess")).alias("tp"))
+    made = t.groupBy(F.col("guess").alias("class")).agg(F.count("*").alias("predicted"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return classes.join(hits, "class", "left").join(made, "class", "left").select("class", zero("tp"), zero("predicted"), zero("support"))
+
+
+def centroid_probe_accuracy(spark, sf_dir):
+    return summary_metrics(centroid_probe(spark, sf_dir))
+
+
+def clustered_difference(spark, sf_dir, replicates: int = 2_000):
+    """Difference of the quality rate between English and other documents of a source, sources resampled whole.
+
+    One number a source is gathered; sources are the clusters and few beside documents.
+    """
+    d = _labelled(spark, sf_dir).groupBy("source").agg(F.avg(F.when(F.col("lang") == "en", F.col("quality"))).alias("a"), F.avg(F.when(F.col("lang") != "en", F.col("quality"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    v = d.agg(F.array_sort(F.collect_list(F.round(F.col("a") - F.col("b"), 9))).alias("v")).where("size(v) > 0").withColumn("n", F.size("v").cast("long"))
+    r = v.select("v", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias("r"))
+    total = lambda index: F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda a, i: a + F.get(F.col("v"), index(i).cast("int")))
+    r = r.select("n", (total(lambda i: draw(F.col("r"), i, F.col("n"))) / F.col("n")).alias("m"), (total(lambda i: i) / F.col("n")).alias("point"))
+    return r.groupBy("n").agg(F.round(F.max("point"), 7).alias("difference"), F.round(F.percentile("m", 0.025), 7).alias("low"), F.round(F.percentile("m", 0.975), 7).alias("high"))
+
+
+def relative_changes(spark, sf_dir):
+    """Percentage change of the mean order price from one year to the next."""
+    o = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.avg("o_totalprice").alias("price"))
+    return o.select("year", F.round(100 * (F.col("price") / F.lag("price").over(Window.orderBy("year")) - 1), 6).alias("change"))
+
+
 QUERIES = {
+    "classification_summary": classification_summary, "centroid_probe": centroid_probe, "centroid_probe_accuracy": centroid_probe_accuracy,
+    "clustered_difference": clustered_difference, "relative_changes": relative_changes,
     "wilson_by_stratum": wilson_by_stratum, "grouping_sets_rates": grouping_sets_rates, "classification_report": classification_report,
     "review_agreement_kappa": review_agreement_kappa, "bootstrap_interval": bootstrap_interval, "paired_difference": paired_difference,
     "event_latest_state": event_latest_state, "event_transitions": event_transitions, "candidate_taxonomy": candidate_taxonomy,
@@ -150,12 +203,23 @@ QUERIES = {
 }
 _L = "documents JOIN labels USING (doc_id)"
 _W = f"round(({{s}} / n + {Z * Z / 2!r} / n {{sign}} {Z!r} * sqrt({{s}} / n * (1 - {{s}} / n) / n + {Z * Z / 4!r} / n / n)) / (1 + {Z * Z!r} / n), 9)"
+_REPORT = f"WITH d AS (SELECT quality, {_PRED} AS p FROM {_L}), o AS (SELECT class, count(*) FILTER (quality = class AND p = class) AS tp, count(*) FILTER (p = class) AS predicted, count(*) FILTER (quality = class) AS support FROM d, (SELECT unnest([0, 1])::INTEGER AS class) GROUP BY class) SELECT class, tp, predicted, support, round(coalesce(tp / nullif(predicted, 0), 0), 9) AS precision, round(coalesce(tp / nullif(support, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(predicted + support, 0), 0), 9) AS f1 FROM o"
+_SUMMARY = "SELECT sum(support)::BIGINT AS n, round(sum(tp) / sum(support), 9) AS accuracy, round(avg(CASE WHEN support > 0 THEN tp / support END), 9) AS balanced_accuracy, round(avg(coalesce(2 * tp / nullif(predicted + support, 0), 0)), 9) AS macro_f1, round(max(support) / sum(support), 9) AS majority FROM ({c})"
+_PROBE = """WITH e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label AS guess, k, avg(x) AS m FROM e WHERE vec_id % 2 = 0 GROUP BY ALL),
+  f AS (SELECT vec_id, label, guess, round(sum((x - m) * (x - m)), 6) AS d FROM e JOIN m USING (k) WHERE vec_id % 2 = 1 GROUP BY ALL), t AS (SELECT vec_id, label, arg_min(guess, (d, guess)) AS guess FROM f GROUP BY ALL),
+  n AS (SELECT DISTINCT unnest([label, guess]) AS class FROM t), c AS (SELECT class, count(*) FILTER (label = class AND guess = class) AS tp, count(*) FILTER (guess = class) AS predicted, count(*) FILTER (label = class) AS support FROM n, t GROUP BY class)"""
 ORACLE_SQL = {
     "wilson_by_stratum": f"WITH g AS (SELECT lang, source, sum(quality)::BIGINT AS s, count(quality) AS n FROM {_L} GROUP BY ALL) SELECT lang, source, s AS successes, n AS total, {_W.format(s='s', sign='-')} AS low, {_W.format(s='s', sign='+')} AS high FROM g WHERE n > 0",
     "grouping_sets_rates": f"SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*) AS n, round(avg(quality), 9) AS quality_rate, round(avg(toxic), 9) AS toxic_rate FROM {_L} GROUP BY CUBE (lang, source)",
-    "classification_report": f"WITH d AS (SELECT quality, {_PRED} AS p FROM {_L}), o AS (SELECT class, count(*) FILTER (quality = class AND p = class) AS tp, count(*) FILTER (p = class) AS predicted, count(*) FILTER (quality = class) AS support FROM d, (SELECT unnest([0, 1])::INTEGER AS class) GROUP BY class) SELECT class, tp, predicted, support, round(coalesce(tp / nullif(predicted, 0), 0), 9) AS precision, round(coalesce(tp / nullif(support, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(predicted + support, 0), 0), 9) AS f1 FROM o",
-    "review_agreement_kappa": f"WITH d AS (SELECT lang, quality AS a, {_PRED} AS b FROM {_L}), g AS (SELECT lang, count(*) AS n, count(*) FILTER (a = b) AS agree, sum(a)::DOUBLE AS a1, sum(b)::DOUBLE AS b1 FROM d GROUP BY lang), k AS (SELECT *, agree / n AS po, (a1 * b1 + (n - a1) * (n - b1)) / (n::DOUBLE * n) AS pe FROM g) SELECT lang, n, agree, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 9) AS kappa FROM k",
-    "bootstrap_interval": f"WITH d AS (SELECT doc_id, lang, quality, unnest(range(1, {REPLICATES + 1})) AS r FROM {_L}), u AS (SELECT *, ('0x' || substr(md5(doc_id || ':' || r), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d), w AS (SELECT *, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 ELSE 5 END AS w FROM u), g AS (SELECT lang, r, sum(w * quality) / nullif(sum(w), 0) AS rate FROM w GROUP BY ALL) SELECT lang, round(quantile_cont(rate, 0.025), 9) AS low, round(quantile_cont(rate, 0.975), 9) AS high, count(rate) AS replicates FROM g GROUP BY lang",
+    "classification_report": _REPORT,
+    "classification_summary": _SUMMARY.format(c="SELECT class, tp, predicted, support FROM (" + _REPORT + ")"),
+    "centroid_probe": _PROBE + " SELECT * FROM c",
+    "centroid_probe_accuracy": _PROBE + ", k AS (SELECT * FROM c) " + _SUMMARY.format(c="SELECT * FROM k"),
+    "clustered_difference": f"WITH d AS (SELECT source, avg(quality) FILTER (lang = 'en') AS a, avg(quality) FILTER (lang <> 'en') AS b FROM {_L} GROUP BY source), v AS (SELECT list_sort(list(round(a - b, 9))) AS v, count(*) AS n FROM d WHERE a IS NOT NULL AND b IS NOT NULL), "
+    f"m AS (SELECT r, any_value(n) AS n, sum(v[drawn + 1]) / any_value(n) AS m, list_sum(any_value(v)) / any_value(n) AS point FROM ({sql_draws('SELECT * FROM v WHERE n > 0', 2_000)}) GROUP BY r) SELECT n, round(max(point), 7) AS difference, round(quantile_cont(m, 0.025), 7) AS low, round(quantile_cont(m, 0.975), 7) AS high FROM m GROUP BY n",
+    "relative_changes": "SELECT year, round(100 * (p / lag(p) OVER (ORDER BY year) - 1), 6) AS change FROM (SELECT year(o_orderdate) AS year, avg(o_totalprice) AS p FROM orders GROUP BY 1)",
+    "review_agreement_kappa": f"WITH d AS (SELECT lang, quality AS a, {_PRED} AS b FROM {_L}), g AS (SELECT lang, count(*) AS n, count(*) FILTER (a = b) AS agree, sum(a)::DOUBLE AS a1, sum(b)::DOUBLE AS b1 FROM d GROUP BY lang), k AS (SELECT *, agree / n AS po, (a1 * b1 + (n - a1) * (n - b1)) / (n::DOUBLE * n) AS pe FROM g) SELECT lang, n, agree, round(CASE WHEN abs(pe - 1) < 1e-9 THEN CASE WHEN abs(po - 1) < 1e-9 THEN 1.0 END ELSE (po - pe) / (1 - pe) END, 9) AS kappa FROM k",
+    "bootstrap_interval": sql_intervals(f"SELECT lang, count(quality) AS n, sum(quality)::BIGINT AS s FROM {_L} GROUP BY lang HAVING count(quality) > 0", "lang"),
     "paired_difference": "WITH g AS (SELECT o_custkey, avg(o_totalprice) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS a, avg(o_totalprice) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS b FROM orders GROUP BY 1) SELECT c_mktsegment, count(*) AS pairs, round(avg(a - b), 4) AS mean_difference, count(*) FILTER (a > b) AS wins FROM g JOIN customer ON c_custkey = o_custkey WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1",
     "event_latest_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS events FROM events GROUP BY 1",
     "event_transitions": "SELECT before, event_type AS after, count(*) AS n FROM (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL GROUP BY ALL",

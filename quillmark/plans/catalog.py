@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import admission, audits, evaluation, similarity
+from ..operators import admission, audits, collections, evaluation, neardup, provenance, records, reviews, schedules, similarity, splits, state, textmetrics
 
-MODULES = [admission, audits, evaluation, similarity]
+MODULES = [admission, audits, evaluation, similarity, records, provenance, neardup, splits, schedules, textmetrics, state, reviews, collections]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,6 +21,7 @@ def windowed_counts(stream: DataFrame, at: str, key: str, width: str = "1 hour",
 
 def contaminated(stream: DataFrame, reference: DataFrame, width: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, shingle) rows of a stream whose shingles a static reference has."""
-    shingled = lambda d: X.shingles(X.words(F.col(text)), width)
-    known = reference.select(F.explode(shingled(reference)).alias("shingle")).distinct()
-    return stream.select(key, F.explode(shingled(stream)).alias("shingle")).join(known, "shingle", "left_semi")
+    words = X.words(F.col(text)).alias("_words")
+    shingles = F.explode(X.shingles(F.col("_words"), width)).alias("shingle")
+    known = reference.select(words).select(shingles).distinct()
+    return stream.select(key, words).select(key, shingles).join(known, "shingle", "left_semi")
