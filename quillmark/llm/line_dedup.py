@@ -5,8 +5,8 @@ Method
 1. Each non-blank line is squeezed and lower-cased; equal ones share a 64-bit line id
    (among n different lines about n^2 / 2^65 pairs share one by chance).
 2. Signatures of its character shingles are cut into bands; lines that share a band are
-   candidates.  With ROWS and BANDS a pair at the threshold shares a band with probability
-   0.996.  Bins that no shingle hits are filled by further hash rounds over the same
+   candidates.  Bands draw their rows from the bins, each bin in one or two of them; a pair
+   at the threshold shares a band with probability 0.996.  Bins that no shingle hits are filled by further hash rounds over the same
    shingles, so short lines have a full signature too.
 3. A task sorts the bands of its different lines and sends them as delta-coded blocks to
    shards of the band hash.  A band that very many lines of one task hold goes to shards
@@ -39,15 +39,16 @@ from .textkernel import small_batches
 
 #: At width 5 a line of 54 characters stays over the threshold when a short word is put in.
 SHINGLE, THRESHOLD = 5, 0.8
-ROWS, BANDS = 5, 14
-BINS = ROWS * BANDS
+ROWS, BANDS, BINS = 6, 20, 96
+#: Bins of each band: all of them in turn, then again in another order.
+_BAND_BINS = np.concatenate([np.arange(BINS), np.arange(BINS) * 37 % BINS])[: ROWS * BANDS].reshape(BANDS, ROWS)
 #: Buckets of so many lines compare all pairs at once; larger ones take about HUBS hubs in the
 #: first round, when all lines are apart, and MORE times as many in each further one.
 SMALL, HUBS, MORE = 64, 2, 16
 #: Lines of a large bucket, and hubs of the round, that are tested in one piece of work.
 PIECE = 512
 #: Share of equal two-bit fields below which a pair's texts are not compared.
-SKETCH = 0.66
+SKETCH = 0.686
 #: Characters aimed at per shard of the bands, lines a task gathers before it sends blocks,
 #: and how many of them may share a band before it is dealt by line.
 SHARD, RUN, HOT = 16 << 20, 50_000, 256
@@ -172,7 +173,7 @@ def band_hashes(lines: list[str]) -> np.ndarray:
         for b in range(BANDS):
             x = np.full(len(lines), b + 1, np.uint64)
             for r in range(ROWS):
-                x = _mix(x * _P + sign[:, b * ROWS + r])
+                x = _mix(x * _P + sign[:, _BAND_BINS[b, r]])
             out[:, b] = x
     return out.view(np.int64)
 
@@ -404,7 +405,7 @@ class _Shingled:
         return both >= THRESHOLD * (self.size + other.size - both)
 
 
-_SCREENED = "piece long, lid long, root long, near array<long>"
+_SCREENED = "piece long, a long, b long, root_a long, root_b long"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -428,8 +429,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (piece, lid, root, hub, sketch) sorted by piece -> rows that some pair keeps, with
-    the later rows of their piece that they pair with.  Only pairs with a hub count."""
+    """Rows (piece, lid, root, hub, sketch) sorted by piece -> pairs (a < b) that may be alike.
+    Only pairs with a hub count, and none whose lines are linked already."""
     for t in _pieces(batches):
         piece, lid, root = (t.column(k).to_numpy() for k in (0, 1, 2))
         hub = t.column(3).to_numpy()
@@ -452,14 +453,15 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right.append(j[good])
             at = stop
         i, j = np.concatenate(left), np.concatenate(right)
-        rows = np.union1d(i, j)
-        cuts = np.searchsorted(i, np.append(rows, len(piece)))
-        near = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(lid[j]))
-        yield pa.record_batch([pa.array(piece[rows]), pa.array(lid[rows]), pa.array(root[rows]), near], names=["piece", "lid", "root", "near"])
+        swap = lid[i] > lid[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        columns = (piece[i], lid[i], lid[j], root[i], root[j])
+        for low in range(0, len(i), 1 << 16):
+            yield pa.record_batch([pa.array(c[low : low + (1 << 16)]) for c in columns], names=["piece", "a", "b", "root_a", "root_b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (piece, lid, root, near, line) sorted by piece -> links (a, b).
+    """Rows (piece, lid, root, near, line) sorted by piece, a line once or twice -> links (a, b).
 
     Lines that are linked already, here or before, are not tested again.
     """
@@ -506,10 +508,14 @@ def _links(pieces: DataFrame, texts: DataFrame) -> DataFrame:
     """Links of pieces (piece, lid, root, hub): screened by sketches, verified by texts."""
     drawn = pieces.join(texts.select("lid", "sketch"), "lid").select("piece", "lid", "root", "hub", "sketch")
     screened = drawn.repartition("piece").sortWithinPartitions("piece").mapInArrow(_screen, _SCREENED)
-    screened = written(screened, "screened")
-    rows = screened.join(texts.select("lid", "line"), "lid").select("piece", "lid", "root", "near", "line")
+    # A pair that several pieces hold is tested in one of them.
+    pairs = screened.groupBy("a", "b").agg(F.min("piece").alias("piece"), F.min("root_a").alias("root_a"), F.min("root_b").alias("root_b"))
+    pairs = written(pairs, "pairs")
+    near = pairs.groupBy("piece", F.col("a").alias("lid")).agg(F.min("root_a").alias("root"), F.collect_list("b").alias("near"))
+    ends = pairs.groupBy("piece", F.col("b").alias("lid")).agg(F.min("root_b").alias("root")).withColumn("near", F.array().cast("array<long>"))
+    rows = near.unionByName(ends).join(texts.select("lid", "line"), "lid").select("piece", "lid", "root", "near", "line")
     out = written(rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(_verify, "a long, b long"), "links")
-    discard(screened)
+    discard(pairs)
     return out
 
 
