@@ -185,22 +185,39 @@ def _count_at(found: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.nda
 
 
 def _find(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted value in its own ascending stretch values[low:high], or -1."""
-    low, high, end = low.astype(np.int64), high.astype(np.int64), high.astype(np.int64)
-    open_ = np.flatnonzero(low < high)
-    while len(open_):
-        middle = (low[open_] + high[open_]) >> 1
-        less = values[middle] < wanted[open_]
-        low[open_[less]] = middle[less] + 1
-        high[open_[~less]] = middle[~less]
-        open_ = open_[low[open_] < high[open_]]
-    hit = np.flatnonzero(low < end)
-    hit = hit[values[low[hit]] == wanted[hit]]
-    out = np.full(len(low), -1, np.int64)
-    out[hit] = low[hit]
+    """Place of each wanted value in its own ascending stretch values[low:high], or -1.
+
+    Stretches of like length are halved together, all at once.
+    """
+    low, high = low.astype(np.int64), high.astype(np.int64)
+    size, out = high - low, np.full(len(low), -1, np.int64)
+    least = 0
+    for most in (1, 16, 1024, 1 << 62):
+        rows = np.flatnonzero((size > least) & (size <= most))
+        least = most
+        if not len(rows):
+            continue
+        at, left, goal = low[rows], size[rows], wanted[rows]
+        while int(left.max()) > 1:
+            half = left >> 1
+            at += half * (values[at + half - 1] < goal)
+            left -= half
+        at += values[at] < goal
+        hit = at < high[rows]
+        hit[hit] = values[at[hit]] == goal[hit]
+        out[rows[hit]] = at[hit]
     return out
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with the inverse, by hashing first: only distinct keys are sorted."""
+    codes, found = pd.factorize(keys)
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], rank[codes]
+
+
 def word_ids(uri: str, bits: int, first_id: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(id or -1, count) of distinct ascending hashes."""
     ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
@@ -377,7 +394,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
         for batch in small_batches(batches):
             h, at = _sequences(batch.column(0))
-            distinct, back = np.unique(h, return_inverse=True)
+            distinct, back = _distinct(h)
             w = word_ids(uri, bits, first_id, distinct)[0][back]
             v = np.append(start, w[:-1])
             v[at[:-1]] = start
@@ -558,7 +575,7 @@ def _trigram_counts(m: Model, u: np.ndarray, v: np.ndarray, context: np.ndarray,
 def score_batch(m: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(n_tokens, n_known, base_score, score) of each text."""
     h, at = _sequences(column)
-    distinct, w = np.unique(h, return_inverse=True)
+    distinct, w = _distinct(h)
     ids, counts = word_ids(m.uri, m.bits, m.first_id, distinct)
     V, n = m.types, len(ids)
     base = np.log10((counts + 1) / (m.tokens + V + 1))
@@ -568,7 +585,7 @@ def score_batch(m: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
     v[at[:-1]] = n
     u = np.append(n + 1, v[:-1])
     u[at[:-1]] = n + 1
-    pairs, in_pairs = np.unique(v * (n + 2) + w, return_inverse=True)
+    pairs, in_pairs = _distinct(v * (n + 2) + w)
     pv, pw = pairs // (n + 2), pairs % (n + 2)
     lower = np.full(n + 2, (m.mass if m.tokens else 1.0) / (V + 1))
     p = lower[pw]
@@ -591,8 +608,8 @@ def score_batch(m: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
         p[both] += (a - _discount(d2, a)) / total[both]
         # Trigrams: distinct contexts (u, v), and in each its distinct words.
         inner = np.flatnonzero((v != n) & (every[v] >= 0) & (every[u] >= 0))
-        contexts, in_contexts = np.unique(u[inner] * (n + 2) + v[inner], return_inverse=True)
-        items, in_items = np.unique(in_contexts * (n + 2) + w[inner], return_inverse=True)
+        contexts, in_contexts = _distinct(u[inner] * (n + 2) + v[inner])
+        items, in_items = _distinct(in_contexts * (n + 2) + w[inner])
         q = p[in_pairs]
         if len(inner):
             context, word = items // (n + 2), every[items % (n + 2)]
