@@ -32,8 +32,10 @@ def bootstrap_rates(counts: DataFrame, keys: list[str], replicates: int = REPLIC
     success and no row is needed; each replicate draws its n indices.
     """
     r = counts.select(*keys, "n", "s", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))).alias("r"))
-    wins = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0), lambda a, i: a + F.when(draw(F.col("r"), i, F.col("n")) < F.col("s"), 1).otherwise(0))
-    r = r.select(*keys, (wins / F.col("n")).alias("rate"))
+    # Replicates spread over the tasks; their draws are rows, so the arithmetic is compiled.
+    r = r.repartition(*keys, "r").select(*keys, "n", "s", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    r = r.groupBy(*keys, "r", "n").agg(F.count_if(draw(F.col("r"), F.col("i"), F.col("n")) < F.col("s")).alias("wins"))
+    r = r.select(*keys, (F.col("wins") / F.col("n")).alias("rate"))
     return r.groupBy(*keys).agg(F.round(F.percentile("rate", 0.025), 9).alias("low"), F.round(F.percentile("rate", 0.975), 9).alias("high"), F.count("rate").alias("replicates"))
 
 
