@@ -24,9 +24,10 @@ def fingerprint(text):
 def documents():
     rng = random.Random(9)
     vocab = "the of and to in is that it on was for with as his they be at one have this".split() + ["w%d" % i for i in range(300)]
+    weights = [6] * (len(vocab) - 300) + [1] * 300
     rows = [(1, None, "en", "a", 0, 7), (2, "", "en", "a", 0, 7), (3, "too short", "en", "b", 9, 7), (4, "!!! ### " * 60, "en", "b", 0, 7)]
     for i in range(10, 70):
-        text = " ".join(rng.choices(vocab, k=rng.choice([60, 80, 150, 1500])))
+        text = " ".join(rng.choices(vocab, weights, k=rng.choice([60, 80, 150, 1500])))
         rows.append((i, text, rng.choice(["en", "de"]), rng.choice(["a", "a", "a", "b", None]), len(text), 7))
         if rng.random() < 0.3:
             rows.append((i + 100, text.replace(" ", "  ", 3), "en", "c", len(text) + 3, 7))  # equal once squeezed
