@@ -15,22 +15,23 @@ def _fields(schema: T.StructType | str) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
 
-def _permissive(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def _parsed(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """(file, line, row): every line that is not blank; row._bad holds a line that is no record."""
     whole = T.StructType([*_fields(schema).fields, T.StructField("_bad", T.StringType())])
-    return spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line")).where(F.trim("line") != "")
+    return lines.withColumn("row", F.from_json("line", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
 
 
 def bad_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """(file, line): lines that are no object of the schema; blank lines are none."""
-    df = _permissive(spark, path, schema).select(F.input_file_name().alias("file"), F.col("_bad").alias("line"), F.struct(*[f.name for f in _fields(schema)]).alias("row"))
-    return df.where(F.col("line").isNotNull()).select("file", "line")
+    return _parsed(spark, path, schema).where("row IS NULL OR row._bad IS NOT NULL").select("file", "line")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, required: tuple[str, ...] = ()) -> DataFrame:
     """JSON Lines with a fixed schema; a malformed line, which is named, or a blank required field fails the job."""
-    df = _permissive(spark, path, schema)
-    fail = lambda c: F.raise_error(F.concat(F.lit("not a record: "), F.coalesce(c, F.lit("")))).cast("boolean")
-    df = df.where(F.when(F.col("_bad").isNull(), True).otherwise(fail(F.col("_bad")))).drop("_bad")
+    ok = F.col("row").isNotNull() & F.col("row._bad").isNull()
+    fail = F.raise_error(F.concat(F.lit("not a record: "), "line")).cast("boolean")
+    df = _parsed(spark, path, schema).where(F.when(ok, True).otherwise(fail)).select("row.*").drop("_bad")
     for name in required:
         blank = F.trim(F.coalesce(F.col(name).cast("string"), F.lit(""))) == ""
         df = df.withColumn(name, F.when(blank, F.raise_error(F.lit(f"blank {name}"))).otherwise(F.col(name)))
