@@ -86,16 +86,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before, total = state, state[0]
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
-
-
-def groups_by_keys(members: DataFrame) -> DataFrame:
-    """(id, key) rows -> (id, root): ids that share a key, directly or not; root is the smallest.
-
-    Every id appears, alone if it shares nothing; a null key joins nothing.
-    """
-    members = written(members.select("id", "key"), "members")
-    first = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    edges = weighted_join(members.where("key IS NOT NULL"), first, "key", "n", members.count()).select(F.col("id").alias("a"), F.col("first").alias("b"))
-    roots = connected_components(edges)
-    ids = members.select("id").distinct()
-    return ids.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))

@@ -169,11 +169,9 @@ def assignment_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _weights(spark, sf_dir).select("doc_id", "grp")
     a = written(d.join(bounded(written(token_balanced(spark, sf_dir).select("grp", "split"), "splits")), "grp").select("doc_id", "grp", "split"), "assigned")
     texts = a.join(table(spark, sf_dir, "documents").select("doc_id", X.text_hash(F.col("text")).alias("text_hash")), "doc_id")
-    e = neardup.near_duplicate_edges(spark, sf_dir)
-    side = lambda c, to: a.select(F.col("doc_id").alias(c), F.col("split").alias(to))
-    e = e.join(side("left_id", "l"), "left_id").join(side("right_id", "r"), "right_id")
+    edges = neardup.crossing_edges(table(spark, sf_dir, "documents"), a.select(F.col("doc_id").alias("id"), F.col("split").alias("label")))
     one = lambda name, df: df.agg(F.lit(name).alias("check"), F.count("*").alias("violations"))
-    return one("groups", leaks(a, "grp")).union(one("exact_texts", leaks(texts, "text_hash"))).union(one("near_duplicate_edges", e.where("l <> r")))
+    return one("groups", leaks(a, "grp")).union(one("exact_texts", leaks(texts, "text_hash"))).union(edges.select(F.lit("near_duplicate_edges").alias("check"), F.col("edges").alias("violations")))
 
 
 def split_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
