@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -67,6 +67,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 _EMPTY = np.uint32(0xFFFFFFFF)
 _BUCKET_BITS = 48
+#: Different letters of a group of lines, below which a shingle of five is a number of 60 bits.
+_LETTERS = np.uint64(1 << 12)
 
 
 def squeezed(line: str) -> str:
@@ -94,11 +96,17 @@ def _codes(text: str) -> np.ndarray:
 
 def _rolled(code: np.ndarray) -> np.ndarray:
     """64-bit hashes of all runs of SHINGLE codes."""
-    h = code[: len(code) - SHINGLE + 1].astype(np.uint64)
-    for k in range(1, SHINGLE):
-        h *= _P
-        h += code[k : len(code) - SHINGLE + 1 + k]
-    return _mix(h)
+    return _mix(_spelt(code, _P))
+
+
+def _spelt(code: np.ndarray, base: np.uint64) -> np.ndarray:
+    """All runs of SHINGLE codes as numbers of ``base``, modulo 2^64; of two halves of twos each."""
+    c, n = code.astype(np.uint64), len(code) - SHINGLE + 1
+    two = c[:-1] * base + c[1:]
+    out = (two[:-2] * _U(int(base) ** 2 & 0xFFFFFFFFFFFFFFFF) + two[2:])[:n]
+    out *= base
+    out += c[SHINGLE - 1 :]
+    return out
 
 
 def shingle_hashes(line: str) -> np.ndarray:
@@ -107,41 +115,46 @@ def shingle_hashes(line: str) -> np.ndarray:
     return np.unique(np.concatenate([_rolled(code[p : p + WINDOW + SHINGLE - 1]) for p in range(0, len(code) - SHINGLE + 1, WINDOW)]))
 
 
-def _thrown(lines: list[str], turn: int) -> np.ndarray:
-    """(lines, BINS) minima after every shingle was thrown into one bin by its hash of ``turn``."""
+def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line number) of every shingle of the lines."""
     padded = [x.ljust(SHINGLE, "\x00") for x in lines]
     size = np.array([len(x) for x in padded], np.int64)
-    end = np.cumsum(size)
     code = _codes("".join(padded))
     inside = np.ones(len(code), bool)
     for k in range(1, SHINGLE):
-        inside[end - k] = False
-    base = np.repeat(np.arange(len(lines), dtype=np.int64) * BINS, size)
-    sign = np.full(len(lines) * BINS, _EMPTY, np.uint32)
+        inside[np.cumsum(size) - k] = False
+    h = np.empty(max(0, len(code) - SHINGLE + 1), np.uint64)
     with np.errstate(over="ignore"):
-        for p in range(0, len(code) - SHINGLE + 1, WINDOW):
-            h = _rolled(code[p : p + WINDOW + SHINGLE - 1])
-            if turn:
-                h = _mix(h + _U(turn) * _P)
-            valid = inside[p : p + len(h)]
-            h = h[valid]
-            at = base[p : p + len(valid)][valid] + (((h >> _U(40)) * _U(BINS)) >> _U(24)).astype(np.int64)
-            np.minimum.at(sign, at, np.minimum(h.astype(np.uint32), _EMPTY - np.uint32(1)))
-    return sign.reshape(len(lines), BINS)
+        for p in range(0, len(h), WINDOW):
+            h[p : p + WINDOW] = _rolled(code[p : p + WINDOW + SHINGLE - 1])
+    return h[inside[: len(h)]], np.repeat(np.arange(len(lines), dtype=np.int32), size - SHINGLE + 1)
 
 
 def signatures(lines: list[str]) -> np.ndarray:
     """(lines, BINS) minima: a shingle goes to one bin by its hash; what stays empty is
-    filled by up to TURNS further rounds with other hashes, then bin by bin."""
-    full = _thrown(lines, 0)
-    for turn in range(1, TURNS + 1):
-        holes = full == _EMPTY
-        lacking = np.flatnonzero(holes.any(1))
-        if not len(lacking):
-            return full
-        again = _thrown([lines[k] for k in lacking.tolist()], turn)
-        full[lacking] = np.where(holes[lacking], again, full[lacking])
+    filled by up to TURNS further rounds with other hashes of the same shingles, then bin by bin."""
+    shingle, of = _hashed(lines)
+    full = np.full((len(lines), BINS), _EMPTY, np.uint32)
     with np.errstate(over="ignore"):
+        for turn in range(TURNS + 1):
+            holes = full == _EMPTY
+            lacking = holes.any(1)
+            if not lacking.any():
+                return full
+            if turn:
+                pick = lacking[of]
+                shingle, of = shingle[pick], of[pick]
+            holes, flat = holes.ravel(), full.ravel()
+            for p in range(0, len(shingle), WINDOW):
+                h = shingle[p : p + WINDOW]
+                if turn:
+                    h = _mix(h + _U(turn) * _P)
+                at = of[p : p + WINDOW].astype(np.int64) * BINS + (((h >> _U(40)) * _U(BINS)) >> _U(24)).astype(np.int64)
+                low = h.astype(np.uint32)
+                if turn:  # what earlier rounds filled stays
+                    pick = np.flatnonzero(holes[at])
+                    at, low = at[pick], low[pick]
+                np.minimum.at(flat, at, np.minimum(low, _EMPTY - np.uint32(1)))
         for k in np.flatnonzero((full == _EMPTY).any(1)).tolist():
             h = shingle_hashes(lines[k])
             for b in np.flatnonzero(full[k] == _EMPTY).tolist():
@@ -384,13 +397,21 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, needed: _Bitmap | N
 
 
 class _Shingled:
-    """A line's shingles: a set of strings, for a long line a sorted array of hashes."""
+    """A line's shingles: a sorted array of numbers, five ranks in ``alphabet`` each; without
+    one a set of strings, for a long line a sorted array of hashes."""
 
     __slots__ = ("items", "line", "size")
 
-    def __init__(self, line: str):
+    def __init__(self, line: str, alphabet: np.ndarray | None = None):
         self.line = line
-        self.items = shingles(line) if len(line) <= LONG else shingle_hashes(line)
+        if alphabet is None:
+            self.items = shingles(line) if len(line) <= LONG else shingle_hashes(line)
+        else:
+            code = np.zeros(max(len(line), SHINGLE), np.int64)
+            code[: len(line)] = np.searchsorted(alphabet, _codes(line)) + 1
+            with np.errstate(over="ignore"):
+                x = np.sort(_spelt(code, _LETTERS))
+            self.items = x[np.append(True, x[1:] != x[:-1])]
         self.size = len(self.items)
 
     def alike(self, other: _Shingled) -> bool:
@@ -401,18 +422,19 @@ class _Shingled:
             both = len(small.items & big.items)
         else:
             x, y = (s.items if isinstance(s.items, np.ndarray) else shingle_hashes(s.line) for s in (small, big))
-            both = len(np.intersect1d(x, y, assume_unique=True))
+            z = np.sort(np.concatenate([x, y]))
+            both = int(np.count_nonzero(z[1:] == z[:-1]))
         return both >= THRESHOLD * (self.size + other.size - both)
 
 
 _SCREENED = "piece long, lid long, root long, near array<long>"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables that hold whole pieces, of batches sorted by piece."""
+def _pieces(batches: Iterator[pa.RecordBatch], bits: int = 0) -> Iterator[pa.Table]:
+    """Tables that hold whole pieces, of batches sorted by piece; ``bits``: and all pieces that differ in so many low bits."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        piece = np.asarray(batch.column(0))
+        piece = np.asarray(batch.column(0)) >> bits
         if not len(piece):
             continue
         cut = int(np.searchsorted(piece, piece[-1]))
@@ -420,7 +442,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             held.append(batch.slice(0, cut))
             yield pa.Table.from_batches(held)
             held = []
-        elif held and np.asarray(held[-1].column(0))[-1] != piece[0]:
+        elif held and np.asarray(held[-1].column(0))[-1] >> bits != piece[0]:
             yield pa.Table.from_batches(held)
             held = []
         held.append(batch.slice(cut))
@@ -429,9 +451,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (piece, lid, root, hub, sketch) sorted by piece -> rows that some pair keeps, with
-    the later rows of their piece that they pair with.  Only pairs with a hub count."""
-    for t in _pieces(batches):
+    """Rows (piece, lid, root, hub, sketch) sorted by piece -> (group, lid, root, near): rows that
+    some pair keeps, with the others that they pair with.  Only pairs with a hub count.  Pieces
+    with the same leading 32 bits are a group: a pair in several of them is told once."""
+    for t in _pieces(batches, 32):
         piece, lid, root = (t.column(k).to_numpy() for k in (0, 1, 2))
         hub = t.column(3).to_numpy()
         words = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(-1, 3)
@@ -453,10 +476,20 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right.append(j[good])
             at = stop
         i, j = np.concatenate(left), np.concatenate(right)
-        rows = np.union1d(i, j)
-        cuts = np.searchsorted(i, np.append(rows, len(piece)))
-        near = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(lid[j]))
-        yield pa.record_batch([pa.array(piece[rows]), pa.array(lid[rows]), pa.array(root[rows]), near], names=["piece", "lid", "root", "near"])
+        low, high = np.where(lid[i] < lid[j], i, j), np.where(lid[i] < lid[j], j, i)
+        both = np.concatenate([low, high])
+        group = piece[both] >> 32
+        order = np.lexsort((lid[both], group))
+        both, group = both[order], group[order]
+        new = np.append(True, (group[1:] != group[:-1]) | (lid[both[1:]] != lid[both[:-1]]))[: len(both)]
+        number = np.empty(len(both), np.int64)
+        number[order] = np.cumsum(new) - 1
+        rows, group = both[new], group[new]
+        pairs = np.unique(number[: len(low)] * len(rows) + number[len(low) :])
+        i, j = np.divmod(pairs, max(1, len(rows)))
+        cuts = np.searchsorted(i, np.arange(len(rows) + 1))
+        near = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(lid[rows[j]]))
+        yield pa.record_batch([pa.array(group), pa.array(lid[rows]), pa.array(root[rows]), near], names=["piece", "lid", "root", "near"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,6 +520,8 @@ def _links_of(rows: list) -> list[tuple[int, int]]:
 
     root = {lid: r for lid, r, _, _ in rows}
     line = {lid: text for lid, _, _, text in rows}
+    alphabet = np.unique(_codes("".join(line.values())))
+    alphabet = alphabet if len(alphabet) < _LETTERS else None
     sets: dict[int, _Shingled] = {}
     links = []
     for a, _, near, _ in rows:
@@ -496,7 +531,7 @@ def _links_of(rows: list) -> list[tuple[int, int]]:
                 continue
             for k in (a, b):
                 if k not in sets:
-                    sets[k] = _Shingled(line[k])
+                    sets[k] = _Shingled(line[k], alphabet)
             if sets[a].alike(sets[b]):
                 up[max(x, y)] = min(x, y)
                 links.append((a, b))
@@ -504,9 +539,9 @@ def _links_of(rows: list) -> list[tuple[int, int]]:
 
 
 def _links(pieces: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links of pieces (piece, lid, root, hub): screened by sketches, verified by texts."""
+    """Links of pieces (piece, lid, root, hub): screened by sketches, verified by texts, a group in one task."""
     drawn = pieces.join(texts.select("lid", "sketch"), "lid").select("piece", "lid", "root", "hub", "sketch")
-    screened = drawn.repartition("piece").sortWithinPartitions("piece").mapInArrow(_screen, _SCREENED)
+    screened = drawn.repartition(F.shiftright("piece", 32)).sortWithinPartitions("piece").mapInArrow(_screen, _SCREENED)
     screened = written(screened, "screened")
     rows = screened.join(texts.select("lid", "line"), "lid").select("piece", "lid", "root", "near", "line")
     out = written(rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(_verify, "a long, b long"), "links")
@@ -514,11 +549,16 @@ def _links(pieces: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _piece(first: Column, lids: Column) -> Column:
+    """Hash of a small bucket; buckets with the same smallest line, BANDS at most, share the leading 32 bits."""
+    return F.shiftleft(F.shiftright(F.xxhash64(first), 32), 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(lids), 32))
+
+
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((node, root): line ids of every component of two or more different lines,
     (id, line_no, lid, line): all lines, a written table)."""
     found = written(line_buckets(docs, text_col), "buckets")
-    sets = written(found.where("NOT large").select("lids").distinct().select(F.xxhash64("lids").alias("piece"), "lids"), "sets")
+    sets = written(found.where("NOT large").select("lids").distinct().select(_piece(F.col("lids")[0], F.col("lids")).alias("piece"), "lids"), "sets")
     members = written(found.where("large").select("bucket", F.explode("lids").alias("lid")).distinct(), "members")
     discard(found)
     needed = written(sets.select(F.explode("lids").alias("lid")).union(members.select("lid")).distinct(), "needed")

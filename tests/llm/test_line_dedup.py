@@ -144,3 +144,25 @@ def test_short_lines_with_one_small_change_are_linked(spark):
     kept = {(r["id"], r["line_no"]): r["kept"] for r in line_classes(df).collect()}
     assert [kept[k, 1] for k in (1, 2, 3)] == [False, False, True]
     assert not kept[0, 1]
+
+
+def test_shingles_as_numbers_are_those_of_strings():
+    r = random.Random(3)
+    lines = ["", "a", "ab", "ab\x00", "ab\x00\x00\x00", "abcde", "abcdef", "\U0001f600" * 9, "a" * 50]
+    lines += ["".join(r.choices("ab\u2019\u00e9 ", k=r.randrange(1, 60))) for _ in range(60)]
+    alphabet = np.unique(L._codes("".join(lines)))
+    made = [L._Shingled(x, alphabet) for x in lines]
+    for x, a in zip(lines, made):
+        assert a.size == len(L.shingles(x))
+        for y, b in zip(lines, made):
+            assert a.alike(b) == (L.jaccard(x, y) >= L.THRESHOLD)
+
+
+def test_a_pair_of_several_buckets_is_told_once():
+    sketch = L.sketches(["one line of words"])[0].tobytes()
+    rows = [(piece, lid, lid, True, sketch) for piece in ((5 << 32) + 1, (5 << 32) + 2, (6 << 32) + 1) for lid in (30, 10, 20)]
+    names = ["piece", "lid", "root", "hub", "sketch"]
+    batch = pa.record_batch([pa.array(list(c)) for c in zip(*rows)], names=names)
+    for batches in ([batch], [batch.slice(k, 2) for k in range(0, 9, 2)]):
+        got = [tuple(x.values()) for b in L._screen(iter(batches)) for x in b.to_pylist()]
+        assert got == [(g, lid, lid, near) for g in (5, 6) for lid, near in ((10, [20, 30]), (20, [30]), (30, []))]
