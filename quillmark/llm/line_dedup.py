@@ -58,13 +58,13 @@ REMEMBERED = 500_000
 BITMAP_BITS = 27
 #: Lines of more characters are compared as sorted hash arrays, not as sets of strings.
 LONG = 20_000
-#: Shingles hashed at a time.
-WINDOW = 1 << 15
+#: Shingles hashed at a time, and characters of lines that are spelt at a time.
+WINDOW, SPELT = 1 << 14, 1 << 20
 #: Rounds of hashes that fill a signature's empty bins before they are filled one by one.
 TURNS = 32
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_U = np.uint64
+_U, _S = np.uint64, np.uint32
 _EMPTY = np.uint32(0xFFFFFFFF)
 _BUCKET_BITS = 48
 #: Different letters of a group of lines, below which a shingle of five is a number of 60 bits.
@@ -72,7 +72,9 @@ _LETTERS = np.uint64(1 << 12)
 
 
 def squeezed(line: str) -> str:
-    return " ".join(line.lower().split())
+    low = line.lower()
+    # All white space but the space itself counts as not printable.
+    return low.strip(" ") if low.isprintable() and "  " not in low else " ".join(low.split())
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -84,6 +86,19 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _stir(h: np.ndarray) -> np.ndarray:
+    h ^= h >> _S(16)
+    h *= _S(0x7FEB352D)
+    h ^= h >> _S(15)
+    h *= _S(0x846CA68B)
+    h ^= h >> _S(16)
+    return h
+
+
+#: Odd factor of each row of each band, so that a band is hashed by one sum.
+_FACTORS = _mix((np.arange(BANDS * ROWS, dtype=np.uint64) + _U(1)) * _P).reshape(BANDS, ROWS) | _U(1)
+
+
 def line_ids(lines: list[str]) -> np.ndarray:
     """XXH64 of each line as a signed long; lines differ in length, so one call each."""
     found = [xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in lines]
@@ -99,11 +114,12 @@ def _rolled(code: np.ndarray) -> np.ndarray:
     return _mix(_spelt(code, _P))
 
 
-def _spelt(code: np.ndarray, base: np.uint64) -> np.ndarray:
-    """All runs of SHINGLE codes as numbers of ``base``, modulo 2^64; of two halves of twos each."""
-    c, n = code.astype(np.uint64), len(code) - SHINGLE + 1
+def _spelt(code: np.ndarray, base: np.unsignedinteger) -> np.ndarray:
+    """All runs of SHINGLE codes as numbers of ``base``, modulo 2^64 or 2^32 as its type is; of two halves of twos each."""
+    kind = type(base)
+    c, n = code.astype(kind, copy=False), len(code) - SHINGLE + 1
     two = c[:-1] * base + c[1:]
-    out = (two[:-2] * _U(int(base) ** 2 & 0xFFFFFFFFFFFFFFFF) + two[2:])[:n]
+    out = (two[:-2] * kind(int(base) ** 2 & int(np.iinfo(kind).max)) + two[2:])[:n]
     out *= base
     out += c[SHINGLE - 1 :]
     return out
@@ -115,61 +131,64 @@ def shingle_hashes(line: str) -> np.ndarray:
     return np.unique(np.concatenate([_rolled(code[p : p + WINDOW + SHINGLE - 1]) for p in range(0, len(code) - SHINGLE + 1, WINDOW)]))
 
 
-def _hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line number) of every shingle of the lines."""
-    padded = [x.ljust(SHINGLE, "\x00") for x in lines]
-    size = np.array([len(x) for x in padded], np.int64)
-    code = _codes("".join(padded))
-    inside = np.ones(len(code), bool)
-    for k in range(1, SHINGLE):
-        inside[np.cumsum(size) - k] = False
-    h = np.empty(max(0, len(code) - SHINGLE + 1), np.uint64)
-    with np.errstate(over="ignore"):
-        for p in range(0, len(h), WINDOW):
-            h[p : p + WINDOW] = _rolled(code[p : p + WINDOW + SHINGLE - 1])
-    return h[inside[: len(h)]], np.repeat(np.arange(len(lines), dtype=np.int32), size - SHINGLE + 1)
+def _least(h: np.ndarray, size: np.ndarray, turn: int) -> np.ndarray:
+    """(lines, BINS) minima of the round's hashes; ``size`` says how many of ``h`` each line has."""
+    out = np.full((len(size), BINS), _EMPTY, np.uint32)
+    flat, first = out.ravel(), np.repeat(np.arange(len(size)) * BINS, size)
+    for p in range(0, len(h), WINDOW):
+        x = h[p : p + WINDOW]
+        if turn:
+            x = np.minimum(_stir(x + _S(turn * int(_P) & 0xFFFFFFFF)), _EMPTY - _S(1))
+        at = x >> _S(8)  # an equal share of the numbers to each bin
+        at *= _S(BINS)
+        at >>= _S(24)
+        np.minimum.at(flat, first[p : p + WINDOW] + at, x)
+    return out
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """(lines, BINS) minima: a shingle goes to one bin by its hash; what stays empty is
+    """(lines, BINS) minima: a shingle goes to one bin by its hash of 32 bits; what stays empty is
     filled by up to TURNS further rounds with other hashes of the same shingles, then bin by bin."""
-    shingle, of = _hashed(lines)
-    full = np.full((len(lines), BINS), _EMPTY, np.uint32)
+    padded = [x.ljust(SHINGLE, "\x00") for x in lines]
+    size = np.array([len(x) for x in padded], np.int64)
+    code, ends = _codes("".join(padded)), np.cumsum(size)
+    h = np.full(len(code), _EMPTY, np.uint32)
+    inside = np.ones(len(code), bool)
+    for k in range(1, SHINGLE):
+        inside[ends - k] = False
     with np.errstate(over="ignore"):
-        for turn in range(TURNS + 1):
-            holes = full == _EMPTY
-            lacking = holes.any(1)
+        for p in range(0, len(code) - SHINGLE + 1, WINDOW):
+            x = _stir(_spelt(code[p : p + WINDOW + SHINGLE - 1], _S(int(_P) >> 32 | 1)))
+            h[p : p + len(x)] = np.minimum(x, _EMPTY - _S(1))
+        h[~inside] = _EMPTY  # no bin takes it
+        full = _least(h, size, 0)
+        left = np.arange(len(lines))
+        for turn in range(1, TURNS + 1):
+            lacking = (full[left] == _EMPTY).any(1)
             if not lacking.any():
-                return full
-            if turn:
-                pick = lacking[of]
-                shingle, of = shingle[pick], of[pick]
-            holes, flat = holes.ravel(), full.ravel()
-            for p in range(0, len(shingle), WINDOW):
-                h = shingle[p : p + WINDOW]
-                if turn:
-                    h = _mix(h + _U(turn) * _P)
-                at = of[p : p + WINDOW].astype(np.int64) * BINS + (((h >> _U(40)) * _U(BINS)) >> _U(24)).astype(np.int64)
-                low = h.astype(np.uint32)
-                if turn:  # what earlier rounds filled stays
-                    pick = np.flatnonzero(holes[at])
-                    at, low = at[pick], low[pick]
-                np.minimum.at(flat, at, np.minimum(low, _EMPTY - np.uint32(1)))
+                break
+            pick = np.repeat(lacking, size)
+            if turn == 1:
+                pick &= inside
+                size = size - SHINGLE + 1
+            h, left, size = h[pick], left[lacking], size[lacking]
+            held = full[left]
+            full[left] = np.where(held == _EMPTY, _least(h, size, turn), held)
         for k in np.flatnonzero((full == _EMPTY).any(1)).tolist():
-            h = shingle_hashes(lines[k])
+            x = shingle_hashes(lines[k])
             for b in np.flatnonzero(full[k] == _EMPTY).tolist():
-                full[k, b] = min(int(_mix(h + _U(TURNS + b + 1) * _P).min()) & 0xFFFFFFFF, 0xFFFFFFFE)
+                full[k, b] = min(int(_mix(x + _U(TURNS + b + 1) * _P).min()) & 0xFFFFFFFF, 0xFFFFFFFE)
     return full
 
 
 def sketches(lines: list[str]) -> np.ndarray:
     """(lines, 3) words of 64 bits: the two lowest bits of each bin's mixed minimum."""
     with np.errstate(over="ignore"):
-        two = _mix(signatures(lines).astype(np.uint64) + _P) & _U(3)
-    out = np.zeros((len(lines), 3), np.uint64)
+        two = (_stir(signatures(lines).T + _S(int(_P) >> 32)) & _S(3)).astype(np.uint64)
+    out = np.zeros((3, len(lines)), np.uint64)
     for b in range(BINS):
-        out[:, b // 32] |= two[:, b] << _U(2 * (b % 32))
-    return out
+        out[b // 32] |= two[b] << _U(2 * (b % 32))
+    return np.ascontiguousarray(out.T)
 
 
 def _alike_fields(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -180,14 +199,14 @@ def _alike_fields(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def band_hashes(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) hashes of the signature's bands as signed longs; no line may be empty."""
-    sign = signatures(lines).astype(np.uint64)
+    sign = np.ascontiguousarray(signatures(lines).T).astype(np.uint64)
     out = np.empty((len(lines), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for b in range(BANDS):
-            x = np.full(len(lines), b + 1, np.uint64)
-            for r in range(ROWS):
-                x = _mix(x * _P + sign[:, _BAND_BINS[b, r]])
-            out[:, b] = x
+            x = np.full(len(lines), _FACTORS[b, 0] * _U(b + 1), np.uint64)
+            for k, factor in zip(_BAND_BINS[b].tolist(), _FACTORS[b], strict=True):
+                x += sign[k] * factor
+            out[:, b] = _mix(x)
     return out.view(np.int64)
 
 
@@ -230,7 +249,7 @@ def _from_planes(raw: bytes) -> np.ndarray:
 
 def _block_rows(bucket: np.ndarray, lid: np.ndarray, shards: int) -> pa.RecordBatch:
     """Blocks of one run: (shard, hot, buckets as sorted deltas, lids)."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket)
     bucket, lid = bucket[order], lid[order]
     head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     count = np.diff(np.append(head, len(bucket)))
@@ -266,12 +285,23 @@ def _lists(keys: np.ndarray, lids: np.ndarray, cuts: np.ndarray, large: bool) ->
     return pa.table({"bucket": pa.array(keys[heads].view(np.int64)), "lids": members, "large": pa.array([large] * len(heads), pa.bool_())})
 
 
+_NO_LISTS = pa.table({"bucket": pa.array([], pa.int64()), "lids": pa.array([], pa.list_(pa.int64())), "large": pa.array([], pa.bool_())})
+
+
 def _merge_blocks(blocks: pa.Table) -> pa.Table:
     """Buckets of two or more lines of one shard: small ones whole, large ones in rows of 4,096."""
     bucket = np.concatenate([np.cumsum(_from_planes(x)) for x in blocks.column("buckets").to_pylist()])
     sizes = [len(x) // 8 for x in blocks.column("lids").to_pylist()]
     lid = np.concatenate([_from_planes(x) for x in blocks.column("lids").to_pylist()])
     kind = np.repeat(blocks.column("kind").to_numpy(), sizes)
+    # Most bands are of one line: they go before lines are put in order.
+    order = np.argsort(bucket)
+    ranked = bucket[order]
+    same = ranked[1:] == ranked[:-1]
+    order = order[np.append(False, same) | np.append(same, False) | (kind[order] > 0)]
+    if not len(order):
+        return _NO_LISTS
+    bucket, lid, kind = bucket[order], lid[order], kind[order]
     order = np.lexsort((lid, bucket))
     bucket, lid, kind = bucket[order], lid[order], kind[order]
     new = np.append(True, (bucket[1:] != bucket[:-1]) | (lid[1:] != lid[:-1]))
@@ -291,7 +321,7 @@ def _merge_blocks(blocks: pa.Table) -> pa.Table:
         if which:  # a long list in pieces
             cuts = np.unique(np.concatenate([cuts, *(np.arange(i, j, 4096) for i, j in zip(cuts[:-1], cuts[1:], strict=True))]))
         out.append(_lists(b, x, cuts, which))
-    return pa.concat_tables(out) if out else pa.table({"bucket": pa.array([], pa.int64()), "lids": pa.array([], pa.list_(pa.int64())), "large": pa.array([], pa.bool_())})
+    return pa.concat_tables(out) if out else _NO_LISTS
 
 
 def line_buckets(docs: DataFrame, text_col: str) -> DataFrame:
@@ -402,9 +432,11 @@ class _Shingled:
 
     __slots__ = ("items", "line", "size")
 
-    def __init__(self, line: str, alphabet: np.ndarray | None = None):
+    def __init__(self, line: str, alphabet: np.ndarray | None = None, items: np.ndarray | None = None):
         self.line = line
-        if alphabet is None:
+        if items is not None:
+            self.items = items
+        elif alphabet is None:
             self.items = shingles(line) if len(line) <= LONG else shingle_hashes(line)
         else:
             code = np.zeros(max(len(line), SHINGLE), np.int64)
@@ -422,11 +454,53 @@ class _Shingled:
             both = len(small.items & big.items)
         else:
             x, y = (s.items if isinstance(s.items, np.ndarray) else shingle_hashes(s.line) for s in (small, big))
-            z = np.sort(np.concatenate([x, y]))
+            z = np.concatenate([x, y])
+            z.sort()
             both = int(np.count_nonzero(z[1:] == z[:-1]))
         return both >= THRESHOLD * (self.size + other.size - both)
 
 
+def _alphabet(lines: list[str]) -> np.ndarray | None:
+    """The different codes of the lines, ascending, if a shingle of them is a number of 60 bits."""
+    code = _codes("".join(lines))
+    found = np.zeros(int(code.max(initial=0)) + 1, bool)
+    found[code] = True
+    found = np.flatnonzero(found)
+    return found if len(found) < _LETTERS else None
+
+
+def _all_shingled(lines: list[str], alphabet: np.ndarray | None) -> list[_Shingled]:
+    """``_Shingled(line, alphabet)`` of each line, spelt together in runs of about SPELT characters."""
+    if alphabet is None:
+        return [_Shingled(x) for x in lines]
+    rank = np.zeros(int(alphabet.max(initial=0)) + 1, np.uint64)
+    rank[alphabet] = np.arange(1, len(alphabet) + 1)
+    made = [_Shingled(x, alphabet) if len(x) < SHINGLE else None for x in lines]
+    rest = [k for k, x in enumerate(made) if x is None]
+    total = np.cumsum([len(lines[k]) for k in rest])
+    low = 0
+    while low < len(rest):
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + SPELT, side="right")))
+        part = rest[low:high]
+        with np.errstate(over="ignore"):
+            x = _spelt(rank[_codes("".join([lines[k] for k in part]))], _LETTERS)
+        ends = np.cumsum([len(lines[k]) for k in part])
+        starts = np.append(0, ends[:-1])
+        ends -= SHINGLE - 1
+        for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
+            x[i:j].sort()
+        new = np.append(True, x[1:] != x[:-1])
+        new[starts] = True
+        for k in range(SHINGLE - 1):  # shingles across two lines
+            new[ends[:-1] + k] = False
+        cuts = np.append(0, np.cumsum(np.add.reduceat(new, starts, dtype=np.int64))).tolist()
+        x = x[new]
+        for k, i, j in zip(part, cuts[:-1], cuts[1:], strict=True):
+            made[k] = _Shingled(lines[k], items=x[i:j])
+        low = high
+    return made
+
+
 _SCREENED = "piece long, lid long, root long, near array<long>"
 
 
@@ -499,13 +573,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for t in _pieces(batches):
         found: list[tuple[int, int]] = []
-        now, rows = None, []
-        columns = [c.to_pylist() for c in t.columns]
-        for piece, *row in [*zip(*columns, strict=True), (None, 0, 0, [], "")]:
-            if piece != now:
-                found += _links_of(rows)
-                now, rows = piece, []
-            rows.append(row)
+        piece = t.column(0).to_numpy()
+        lid, root, near, line = (c.to_pylist() for c in t.columns[1:])
+        total = np.cumsum([len(x) for x in line])
+        heads = np.append(np.flatnonzero(np.append(True, piece[1:] != piece[:-1])), len(piece)).tolist()
+        k = 0
+        while k < len(heads) - 1:  # the pieces that begin within so many characters
+            low, more = heads[k], k + 1
+            while more < len(heads) - 1 and total[heads[more + 1] - 1] - total[low] < SPELT:
+                more += 1
+            own = slice(low, heads[more])
+            alphabet = _alphabet(line[own])
+            if alphabet is None and more > k + 1:  # too many letters: a piece may have fewer
+                more, own = k + 1, slice(low, heads[k + 1])
+                alphabet = _alphabet(line[own])
+            sets = _all_shingled(line[own], alphabet)
+            rows = list(zip(lid[own], root[own], near[own], sets, strict=True))
+            for i, j in zip(heads[k:more], heads[k + 1 : more + 1], strict=True):
+                found += _links_of(rows[i - low : j - low])
+            k = more
         yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
 
@@ -519,19 +605,13 @@ def _links_of(rows: list) -> list[tuple[int, int]]:
         return x
 
     root = {lid: r for lid, r, _, _ in rows}
-    line = {lid: text for lid, _, _, text in rows}
-    alphabet = np.unique(_codes("".join(line.values())))
-    alphabet = alphabet if len(alphabet) < _LETTERS else None
-    sets: dict[int, _Shingled] = {}
+    sets = {lid: made for lid, _, _, made in rows}
     links = []
     for a, _, near, _ in rows:
         for b in near:
             x, y = top(root[a]), top(root[b])
             if x == y:
                 continue
-            for k in (a, b):
-                if k not in sets:
-                    sets[k] = _Shingled(line[k], alphabet)
             if sets[a].alike(sets[b]):
                 up[max(x, y)] = min(x, y)
                 links.append((a, b))

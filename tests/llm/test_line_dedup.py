@@ -166,3 +166,60 @@ def test_a_pair_of_several_buckets_is_told_once():
     for batches in ([batch], [batch.slice(k, 2) for k in range(0, 9, 2)]):
         got = [tuple(x.values()) for b in L._screen(iter(batches)) for x in b.to_pylist()]
         assert got == [(g, lid, lid, near) for g in (5, 6) for lid, near in ((10, [20, 30]), (20, [30]), (30, []))]
+
+
+def test_squeezed_lines_are_those_of_split():
+    odd = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    lines = ["", " ", "  ", "A  b", " A b ", "\u0130 \u03a3\u03a3 x", "a\u00adb", "\ud800 x", *odd]
+    lines += [f"A{c}B" for c in odd] + [f"{c}A b" for c in odd] + [f"a B {c}" for c in odd]
+    for x in lines:
+        assert squeezed(x) == " ".join(x.lower().split())
+
+
+def test_a_signature_is_of_the_set_of_shingles_alone():
+    r = random.Random(11)
+    lines = ["", "ab", "ab\x00", "aaaaa", "abcabcabcabcabc", "abcabcabc"]
+    lines += ["".join(r.choices("abcdefgh \u2019", k=r.choice([4, 5, 6, 30, 100, 700, 3000]))) for _ in range(60)]
+    whole = signatures(lines)
+    assert whole.shape == (len(lines), L.BINS) and not (whole == L._EMPTY).any()
+    for x, row in zip(lines, whole):
+        assert np.array_equal(signatures([x])[0], row)
+    assert np.array_equal(signatures(lines[::-1])[::-1], whole)
+    assert np.array_equal(whole[4], whole[5]) and not np.array_equal(whole[1], whole[3])
+
+
+def verified(lines):
+    """Pairs of lines (by number) that ``_verify`` links: a piece for each two lines that follow each other."""
+    rows = [(p, lid, lid, [p + 1] if lid == p else [], lines[lid]) for p in range(len(lines) - 1) for lid in (p, p + 1)]
+    columns = [pa.array(list(c)) for c in zip(*rows)]
+    columns[3] = columns[3].cast(pa.list_(pa.int64()))
+    batch = pa.record_batch(columns, names=["piece", "lid", "root", "near", "line"])
+    return {tuple(x.values()) for b in L._verify(iter([batch])) for x in b.to_pylist()}
+
+
+@pytest.mark.parametrize(("spelt", "letters"), [(1 << 20, 1 << 12), (100, 1 << 12), (1 << 20, 12), (1 << 20, 2)])
+def test_lines_verified_together_link_like_pairs(monkeypatch, spelt, letters):
+    r = random.Random(12)
+    lines = ["a", "ab", "ab\x00", "abcde", "abcdef", "a" * 50, "a" * 60]
+    for _ in range(60):
+        x = "".join(r.choices(r.choice(["ab", "cdef\u2019", "abcdefghijklmnop "]), k=r.randrange(1, 60)))
+        lines += [x, x[: len(x) // 2] + "z" * r.randrange(2) + x[len(x) // 2 :]]
+    monkeypatch.setattr(L, "SPELT", spelt)
+    monkeypatch.setattr(L, "_LETTERS", np.uint64(letters))
+    assert verified(lines) == {(k, k + 1) for k in range(len(lines) - 1) if jaccard(lines[k], lines[k + 1]) >= L.THRESHOLD}
+
+
+def test_lines_are_spelt_together_and_single_bands_not_sorted(monkeypatch):
+    # The cost of a line must not be that of many small array calls: 414 CPU seconds a GB once.
+    calls, ordered = [], []
+    spelt, lexsort = L._spelt, np.lexsort
+    monkeypatch.setattr(L, "_spelt", lambda *a: calls.append(1) or spelt(*a))
+    assert verified([f"a line of some words and letters, and at its end a number: {k}" for k in range(200)])
+    assert len(calls) <= 2  # the last piece of a batch comes by itself
+    rng = np.random.default_rng(6)
+    bands = np.append(rng.permutation(np.arange(1, 5000, dtype=np.uint64)), np.uint64(7))
+    blocks = pa.Table.from_batches([_block_rows(bands, rng.integers(1, 1 << 62, 5000).astype(np.uint64), 1)])
+    monkeypatch.setattr(np, "lexsort", lambda keys: ordered.append(len(keys[0])) or lexsort(keys))
+    assert [r["bucket"] for r in _merge_blocks(blocks).to_pylist()] == [7]
+    assert ordered == [2]
+    assert _merge_blocks(pa.Table.from_batches([_block_rows(bands[:-1], bands[:-1], 1)])).num_rows == 0
