@@ -59,7 +59,7 @@ BITMAP_BITS = 27
 #: Lines of more characters are compared as sorted hash arrays, not as sets of strings.
 LONG = 20_000
 #: Shingles hashed at a time, and characters of lines that are spelt at a time.
-WINDOW, SPELT = 1 << 14, 1 << 20
+WINDOW, SPELT = 1 << 14, 1 << 18
 #: Rounds of hashes that fill a signature's empty bins before they are filled one by one.
 TURNS = 32
 
